@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import consensus, cutoff, lookalike, pairs, reading, sentences, split
+from quern.llm import consensus, cutoff, leaks, lookalike, pairs, reading, sentences, split
 from quern.session import read
 
 
@@ -65,6 +65,14 @@ def p7_share(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_off_share(read(spark, d, "generation_outputs"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(read(spark, d, "documents"), read(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(read(spark, d, "documents"), read(spark, d, "graded_passages")).select("doc_id", "reading_level")
 
