@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import consensus, cutoff, leaks, lookalike, pairs, reading, sentences, split
+from quern.llm import consensus, cutoff, leaks, lookalike, packing, pairs, reading, sentences, split
 from quern.session import read
 
 
@@ -65,6 +65,15 @@ def p7_share(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_off_share(read(spark, d, "generation_outputs"))
 
 
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(read(spark, d, "documents"), read(spark, d, "pack_targets"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    targets = read(spark, d, "pack_targets")
+    return packing.pack_report(packing.pack(read(spark, d, "documents"), targets), targets)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(read(spark, d, "documents"), read(spark, d, "eval_items")).select("doc_id", "item_id")
 
