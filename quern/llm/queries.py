@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import consensus, cutoff, leaks, lookalike, packing, pairs, reading, sentences, split
+from quern.llm import consensus, cutoff, leaks, lookalike, packing, pairs, reading, scannoise, sentences, split
 from quern.session import read
 
 
@@ -57,6 +57,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective_pairs(read(spark, d, "answers"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scannoise.noise(read(spark, d, "page_records")).select("page_key", "line_no", "kind").distinct()
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scannoise.repair(read(spark, d, "page_records"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_off(read(spark, d, "generation_outputs")).select("gen_id")
 
