@@ -51,5 +51,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, its lineage cut; survives lost executors."""
+    ship(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
