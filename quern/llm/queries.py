@@ -100,3 +100,15 @@ def p10_grades(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit() and callable(v)}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of what SQL can say plainly; the others are tested against brute force on small fixtures."""
+    over = "SELECT DISTINCT c.chunk_id FROM chunks c LEFT JOIN pipeline_configs k ON k.config_id = coalesce(c.config_id, 1) WHERE length(c.text) > coalesce(k.chunk_size, (SELECT chunk_size FROM pipeline_configs WHERE config_id = 1))"
+    clean = r"regexp_replace(regexp_replace(lower(verdict), '[^a-z]+', '_', 'g'), '^_+|_+$', '', 'g')"
+    alpha = rf"""WITH v AS (SELECT trim(question_id) AS q, trim(condition_id) AS c, claim_index AS i, regexp_replace(lower(trim(annotator)), '[_\s]+', '-', 'g') AS a, {clean} AS v, judged_at, judgement_id FROM claim_judgements),
+l AS (SELECT * FROM v WHERE v IN ('supported', 'contradicted', 'not_in_context', 'unverifiable') QUALIFY row_number() OVER (PARTITION BY q, c, i, a ORDER BY judged_at DESC, judgement_id DESC) = 1),
+n AS (SELECT q, c, i, v, count(*) AS n FROM l GROUP BY ALL), u AS (SELECT q, c, i, sum(n) AS m, sum(n * (n - 1)) AS same FROM n GROUP BY ALL HAVING sum(n) > 1),
+t AS (SELECT count(*) AS n_claims, sum(m)::BIGINT AS n_votes, sum(same / (m - 1)) AS agree FROM u), p AS (SELECT sum(x * (x - 1)) AS pairs FROM (SELECT v, sum(n)::DOUBLE AS x FROM n JOIN u USING (q, c, i) GROUP BY v)),
+o AS (SELECT n_claims, n_votes, agree / n_votes AS o, pairs / (n_votes::DOUBLE * (n_votes - 1)) AS e FROM t, p) SELECT n_claims, n_votes, round(o, 9) AS observed, round(e, 9) AS expected, round((o - e) / (1 - e), 9) AS alpha FROM o"""
+    return {"p2_found": over, "p4_agreement": alpha}
