@@ -22,6 +22,11 @@ SENTENCE_END = "(?<=[।॥.!?])(?U)\\s+"
 WHITE = "(?U)^\\s+|\\s+$"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def composed(text: Column, form: str = "NFC") -> Column:
     """Unicode normalisation to ``form``."""
 
@@ -70,9 +75,13 @@ def tokens(text: Column, keep_numerals: bool = True, form: str | None = "NFC") -
 
 def grams_of(joined: Column, n: int) -> Column:
     """The character n-grams of a string without spaces; a shorter one is its own only gram."""
-    size = F.length(joined)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(joined, i, F.lit(n)))
-    return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(joined)).otherwise(many)
+
+    def grams(t: Column) -> Column:
+        size = F.length(t)
+        many = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(t)).otherwise(many)
+
+    return let(joined, grams)
 
 
 def character_ngrams(text: Column, n: int = 4, form: str | None = "NFC") -> Column:
@@ -81,9 +90,13 @@ def character_ngrams(text: Column, n: int = 4, form: str | None = "NFC") -> Colu
 
 def token_ngrams(toks: Column, n: int) -> Column:
     """The token n-grams as strings with a separator that no token has."""
-    size = F.size(toks)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(toks, i, F.lit(n)), "\x1f"))
-    return F.when(size < n, F.array().cast("array<string>")).otherwise(many)
+
+    def grams(t: Column) -> Column:
+        size = F.size(t)
+        many = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(n)), "\x1f"))
+        return F.when(size < n, F.array().cast("array<string>")).otherwise(many)
+
+    return let(toks, grams)
 
 
 def sentences(text: Column, form: str | None = "NFC") -> Column:

@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quern.config import ChunkConfig
 from quern.functions import ranking as rk
+from quern.functions.text import let
 
 THRESHOLDS = tuple(round(0.05 * i, 2) for i in range(20))
 
 
 def grid(spark: SparkSession, **axes: Sequence[float]) -> DataFrame:
-    """The cross product of a few literal lists."""
-    out = None
-    for name, values in axes.items():
-        one = spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField(name, T.DoubleType() if any(isinstance(v, float) for v in values) else T.IntegerType())]))
-        out = one if out is None else out.crossJoin(one)
-    return out
+    """The cross product of a few literal lists, made as one small partition."""
+    kinds = [T.DoubleType() if any(isinstance(v, float) for v in values) else T.IntegerType() for values in axes.values()]
+    schema = T.StructType([T.StructField(name, kind) for name, kind in zip(axes, kinds)])
+    return spark.createDataFrame(list(itertools.product(*axes.values())), schema).coalesce(1)
 
 
 def sweep_retrieval(candidates: DataFrame, questions: DataFrame, k_values: Sequence[int] = (1, 3, 5, 10), thresholds: Sequence[float] = (0.0, 0.35, 0.45, 0.55, 0.65, 0.75), floors: Sequence[float] = (0.0, 0.75, 0.85, 0.95)) -> DataFrame:
@@ -33,17 +33,16 @@ def sweep_retrieval(candidates: DataFrame, questions: DataFrame, k_values: Seque
     per = candidates.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("c"), F.max("score").alias("top"))  # k per query
     rows = questions.join(per, "query_id", "left").crossJoin(F.broadcast(grid(spark, k=k_values, threshold=thresholds, relative_floor=floors)))
     kept = F.filter(F.coalesce("c", F.array().cast("array<struct<rank:int,chunk_id:string,score:double>>")), lambda x: (x["rank"] < F.col("k")) & (x["score"] >= F.col("threshold")) & (x["score"] >= F.col("relative_floor") * F.col("top")))
-    rows = rows.withColumn("ids", F.transform(kept, lambda x: x["chunk_id"]))
+    def scores(ids: Column) -> Column:
+        shared, wanted = F.size(F.array_intersect(ids, F.col("gold"))), F.size(F.array_distinct("gold"))
+        gain = F.aggregate(F.transform(ids, lambda x, i: F.when(F.array_contains(F.col("gold"), x), 1.0 / F.log2(i + 2)).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+        ideal = F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.least(wanted, F.col("k")), F.lit(1))), lambda i: 1.0 / F.log2(i + 1)), F.lit(0.0), lambda s, x: s + x)
+        return F.struct((shared / F.greatest(wanted, F.lit(1))).alias("recall"), (shared / F.greatest(F.size(ids), F.lit(1))).alias("precision"), (gain / ideal).alias("ndcg"), F.size(ids).alias("n"))
+
     can = F.col("answerable") & (F.size("gold") > 0)
-    n = F.greatest(F.size("ids"), F.lit(1))
-    recall = F.size(F.array_intersect("ids", "gold")) / F.greatest(F.size(F.array_distinct("gold")), F.lit(1))
-    precision = F.size(F.array_intersect("ids", "gold")) / n
-    gain = F.aggregate(F.transform("ids", lambda x, i: F.when(F.array_contains("gold", x), 1.0 / F.log2(i + 2)).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
-    ideal = F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size(F.array_distinct("gold")), F.col("k")), F.lit(1))), lambda i: 1.0 / F.log2(i + 1)), F.lit(0.0), lambda s, x: s + x)
-    return rows.groupBy("k", "threshold", "relative_floor").agg(
-        F.avg(F.when(can, recall)).alias("recall"), F.avg(F.when(can, precision)).alias("precision"), F.avg(F.when(can, gain / ideal)).alias("ndcg"),
-        F.avg(F.size("ids")).alias("mean_k"), F.avg((F.size("ids") == 0).cast("int")).alias("abstention_rate"),
-    )
+    rows = rows.select("k", "threshold", "relative_floor", can.alias("can"), let(F.transform(kept, lambda x: x["chunk_id"]), scores).alias("s"))
+    mean = lambda c: F.avg(F.when(F.col("can"), F.col(f"s.{c}"))).alias(c)
+    return rows.groupBy("k", "threshold", "relative_floor").agg(mean("recall"), mean("precision"), mean("ndcg"), F.avg("s.n").alias("mean_k"), F.avg((F.col("s.n") == 0).cast("int")).alias("abstention_rate"))
 
 
 def calibrate_threshold(tops: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
