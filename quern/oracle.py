@@ -32,7 +32,7 @@ mx AS (SELECT query_id, max(score) AS top FROM top GROUP BY query_id),
 cells AS (SELECT k, threshold, relative_floor FROM (SELECT unnest([1, 3, 5, 10]) AS k), (SELECT unnest([0.0, 0.25, 0.3, 0.35, 0.4, 0.45])::DOUBLE AS threshold), (SELECT unnest([0.0, 0.75, 0.85, 0.95])::DOUBLE AS relative_floor)),
 kept AS (SELECT c.k, c.threshold, c.relative_floor, g.query_id, g.answerable, g.n_gold, t.chunk_id, t.ql = t.cl AS hit, row_number() OVER (PARTITION BY c.k, c.threshold, c.relative_floor, g.query_id ORDER BY t.rank NULLS LAST) AS pos
   FROM cells c CROSS JOIN g JOIN mx USING (query_id) LEFT JOIN top t ON t.query_id = g.query_id AND t.rank < c.k AND t.score >= c.threshold AND t.score >= c.relative_floor * mx.top),
-per AS (SELECT k, threshold, relative_floor, query_id, answerable, n_gold, count(chunk_id) AS n, count(*) FILTER (WHERE hit) AS hits, coalesce(sum(1 / log2(pos + 1)) FILTER (WHERE hit), 0) / list_sum(list_transform(range(1, least(n_gold, k) + 1), lambda i: 1 / log2(i + 1))) AS gain FROM kept GROUP BY ALL)
+per AS (SELECT k, threshold, relative_floor, query_id, answerable, n_gold, count(chunk_id) AS n, count(*) FILTER (WHERE hit) AS hits, coalesce(sum(1 / log2(pos + 1)) FILTER (WHERE hit), 0) / list_sum(list_transform(range(1, least(n_gold, k) + 1), lambda i: 1 / log2(i + 1))) AS gain FROM kept GROUP BY k, threshold, relative_floor, query_id, answerable, n_gold)
 SELECT k, threshold, relative_floor, round(avg(hits::DOUBLE / n_gold) FILTER (WHERE answerable), 6) AS recall, round(avg(hits::DOUBLE / greatest(n, 1)) FILTER (WHERE answerable), 6) AS precision, round(avg(gain) FILTER (WHERE answerable), 6) AS ndcg,
 round(avg(n), 6) AS mean_k, round(avg((n = 0)::INT), 6) AS abstention_rate FROM per GROUP BY k, threshold, relative_floor"""
 
@@ -181,7 +181,7 @@ _FIRST = f"fa AS (SELECT * FROM answers WHERE length({_strip('answer')}) > 0 QUA
 ORACLE = {
     "cosine_topk": _TOP.format(k=5) + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM top",
     "cosine_topk_blocked": _TOP.format(k=5) + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM top",
-    "l2_normalise": f"WITH v AS (SELECT vec_id, {_UNIT.replace('embedding', 'e')} AS u FROM (SELECT vec_id, list_transform(embedding, lambda x: x * 3) AS e FROM embeddings)) SELECT vec_id, round(u[1], 6) AS first, round(u[64], 6) AS last, round(sqrt(list_dot_product(u, u)), 6) AS norm FROM v",
+    "l2_normalise": f"WITH v AS (SELECT vec_id, {_UNIT.replace('embedding', 'e')} AS u FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings)) SELECT vec_id, round(u[1], 6) AS first, round(u[64], 6) AS last, round(sqrt(list_dot_product(u, u)), 6) AS norm FROM v",
     "adaptive_select": _MARKED + " SELECT query_id, chunk_id, rank, selected FROM s",
     "abstain_status": _MARKED + " SELECT query_id, round(max(score), 6) AS top_score, count(*) FILTER (WHERE selected)::INT AS k_effective, count(*) FILTER (WHERE selected) = 0 AS abstained, CASE WHEN count(*) FILTER (WHERE selected) = 0 THEN 'below_similarity_threshold' END AS abstain_reason FROM s GROUP BY query_id",
     "retrieval_metrics_multi_k": _multi_k(),

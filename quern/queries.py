@@ -57,7 +57,7 @@ def cosine_topk_blocked(s, d):
 
 @query
 def l2_normalise(s, d):
-    v = vx.l2_normalise(F.transform("embedding", lambda x: x * 3))
+    v = vx.l2_normalise(F.transform("embedding", lambda x: x.cast("double") * 3))
     return read(s, d, "embeddings").select("vec_id", r6(v[0]).alias("first"), r6(v[63]).alias("last"), r6(vx.norm(v)).alias("norm"))
 
 

@@ -108,7 +108,7 @@ def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     lines = _numbered_lines(spark, path)
     is_meta = F.get_json_object("value", "$._meta").isNotNull()
     metas = lines.where(is_meta).orderBy(F.desc("line")).limit(1).collect()
-    schema = T._parse_datatype_string(schemas.RECORD)
+    schema = T.StructType.fromDDL(schemas.RECORD)
     parsed = lines.where(~is_meta).select(F.col("line").cast("bigint").alias("_line"), F.from_json("value", schema).alias("r")).select("_line", "r.*")
     return parsed.withColumn("seq", F.coalesce("seq", "_line")).drop("_line"), json.loads(metas[0].value)["_meta"] if metas else {}
 
