@@ -77,6 +77,8 @@ def closes(text: str) -> bool | None:
     t = body(text)
     if not t:
         return None
+    if t[-1] == "\ufffd":  # half a character
+        return False
     if _DOTS.search(t):
         return None if _DOTS.sub("", t) else False
     core = t.rstrip(CLOSERS + CLOSE_QUOTES + " ")
@@ -202,7 +204,8 @@ def open_endings(df: DataFrame, key: str, text: str, frequent: frozenset[str], m
                 toks = [mask(w, freq) for w in words(unit)]
                 if not raw:
                     continue
-                if len(raw) == 1 and raw[0] not in freq:
+                alone = len(spans) == 1 or _BULLET.match(unit)
+                if alone and len(raw) == 1 and raw[0] not in freq:
                     out.append((k, "name", "", False, 0, ""))
                     continue
                 script = "thai" if "฀" <= raw[-1][0] <= "๿" else "cjk" if ord(raw[-1][0]) > 0x2FFF else "words"
