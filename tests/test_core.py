@@ -311,3 +311,9 @@ def test_stream(spark, tmp_path):
 
 def test_multiset_overlap():
     assert ov._shared(list("aab"), list("abb")) == sum((Counter("aab") & Counter("abb")).values()) == 2
+
+
+def test_external_scorer(spark):
+    df = spark.createDataFrame([(1, "ab", ["a", "ab"])], "k int, h string, r array<string>")
+    load = lambda: lambda hs, rs: [(float(h == r),) * 3 for h, r in zip(hs, rs)]
+    assert ov.external_scores(df, ["k"], "h", "r", load).first().bert_f1 == 1
