@@ -33,7 +33,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BUCKETS, DIMENSIONS, BITS = 512, 3, 10
 WINDOW = 4096  # documents packed together along the curve
 OPEN = 256  # containers carried from window to window
-ROWS_PER_RANGE = 250_000  # documents of one range, so at most one badly filled container per OPEN and range
+ROWS_PER_RANGE = 50_000  # documents of one range, so at most one badly filled container per OPEN and range
 
 
 def load_tokenizer(folder: str = TOKENIZERS, name: str = RANKS):
