@@ -154,7 +154,7 @@ def _tiers() -> str:
 _QM = f"SELECT model, use_retrieval, question_id, avg(chrf) AS value FROM answers WHERE chrf IS NOT NULL AND NOT isnan(chrf) GROUP BY ALL"
 _RAG = f"rp AS (SELECT model, question_id, max(value) FILTER (WHERE use_retrieval) AS a, max(value) FILTER (WHERE NOT use_retrieval) AS b FROM ({_QM}) GROUP BY ALL HAVING a IS NOT NULL AND b IS NOT NULL)"
 _JUDGED = "j AS (SELECT question_id, condition_id, claim_index, lower(verdict) AS verdict FROM claim_judgements WHERE lower(verdict) IN ('supported', 'contradicted', 'not_in_context', 'unverifiable'))"
-_TRANS = "tc AS (SELECT source_file, page, min(text) AS transcription FROM chunks WHERE used_ocr AND page % 5 <> 0 GROUP BY ALL), tr AS (SELECT * FROM tc UNION ALL SELECT source_file || '.missing', page, transcription FROM tc WHERE page = 1)"
+_TRANS = "tc AS (SELECT source_file, page, min(text) AS transcription FROM chunks WHERE used_ocr GROUP BY ALL), tr AS (SELECT * FROM tc UNION ALL SELECT source_file || '.missing', page, transcription FROM tc WHERE page = 1)"
 _NG = "len(coalesce({c}, [])) < 1"
 
 
@@ -194,8 +194,9 @@ ORACLE = {
     "char_ngrams": f"SELECT seq, len(g)::INT AS n, md5(array_to_string(g, ' ')) AS digest FROM (SELECT seq, {_GRAMS.format(n=4)} AS g FROM (SELECT seq, array_to_string({_toks('question')}, '') AS j FROM answers WHERE question IS NOT NULL))",
     "sentence_split": f"SELECT seq, len(s)::INT AS n, md5(array_to_string(s, chr(31))) AS digest FROM (SELECT seq, {_sents('answer')} AS s FROM answers WHERE answer IS NOT NULL)",
     "excerpt_and_citation": "SELECT DISTINCT chunk_id, md5(CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END) AS digest, source_file || ' p.' || page AS citation FROM chunks",
-    "ocr_choice": f"""WITH p AS (SELECT page_key, {_strip("substr(text, 1, 40)")} AS n, {_strip("CASE WHEN page % 7 = 0 THEN substr(text, 1, 20) ELSE text END")} AS o FROM page_records WHERE text IS NOT NULL)
-SELECT page_key, length(n) < 50 AND length(o) > length(n) AS used_ocr, length(n) < 50 AS ocr_attempted, length(n) < 50 AND NOT length(o) > length(n) AS ocr_rejected, length(n)::INT AS native_chars, CASE WHEN length(n) < 50 THEN length(o) ELSE 0 END::INT AS ocr_chars, md5(CASE WHEN length(n) < 50 AND length(o) > length(n) THEN o ELSE n END) AS digest FROM p""",
+    "ocr_choice": f"""WITH p AS (SELECT page_key, {_strip("CASE WHEN native_chars < 50 THEN '' ELSE text END")} AS n, {_strip("CASE WHEN ocr_chars > 0 THEN text END")} AS o FROM page_records WHERE text IS NOT NULL),
+q AS (SELECT *, length(n) < 50 AS tried, length(n) < 50 AND o IS NOT NULL AND length(o) > length(n) AS used FROM p)
+SELECT page_key, used AS used_ocr, tried AS ocr_attempted, tried AND NOT used AS ocr_rejected, length(n)::INT AS native_chars, CASE WHEN tried THEN coalesce(length(o), 0) ELSE 0 END::INT AS ocr_chars, md5(CASE WHEN used THEN o ELSE n END) AS digest FROM q""",
     "ingest_summary": "SELECT count(*) AS n_pages, count(*) FILTER (WHERE used_ocr) AS n_ocr_pages, count(*) FILTER (WHERE ocr_attempted) AS n_ocr_attempted, count(*) FILTER (WHERE ocr_rejected) AS n_ocr_rejected, round(count(*) FILTER (WHERE used_ocr)::DOUBLE / count(*), 6) AS ocr_page_fraction, count(*) FILTER (WHERE coalesce(length(trim(text)), 0) = 0) AS n_empty_pages, coalesce(sum(length(text)), 0)::BIGINT AS total_chars, round(avg(length(coalesce(text, ''))), 6) AS mean_chars, round(avg(kannada_ratio), 6) AS mean_ratio FROM page_records",
     "last_page_wins": f"WITH {_LAST} SELECT source_file, page, page_key FROM lp",
     "chunk_fixed": _FIXED,
@@ -216,7 +217,7 @@ SELECT page_key, length(n) < 50 AND length(o) > length(n) AS used_ocr, length(n)
     "version_problems": "SELECT array_to_string(list_sort(list(DISTINCT reference_version) FILTER (WHERE reference_version IS NOT NULL)), ',') AS versions, count(*) FILTER (WHERE reference_version IS NULL) AS missing FROM answers WHERE answerable HAVING count(DISTINCT reference_version) > 1 OR count(*) FILTER (WHERE reference_version IS NULL) > 0",
     "distinct_conditions": "SELECT DISTINCT condition_id AS condition FROM answers",
     "rag_pairs": f"WITH {_RAG} SELECT model, question_id, round(a, 6) AS a, round(b, 6) AS b FROM rp",
-    "model_pairs_shared": f"WITH m AS (SELECT model, question_id, value FROM ({_QM}) WHERE use_retrieval AND model IN ('sthala-7b', 'vana-3b')) SELECT x.model AS name_a, y.model AS name_b, question_id, round(x.value, 6) AS a, round(y.value, 6) AS b FROM m x JOIN m y USING (question_id) WHERE x.model < y.model",
+    "model_pairs_shared": f"WITH m AS (SELECT model, question_id, value FROM ({_QM}) WHERE use_retrieval), sh AS (SELECT question_id FROM m GROUP BY question_id HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM m)) SELECT x.model AS name_a, y.model AS name_b, question_id, round(x.value, 6) AS a, round(y.value, 6) AS b FROM m x JOIN m y USING (question_id) JOIN sh USING (question_id) WHERE x.model < y.model",
     "cliffs_delta": f"WITH {_RAG}, d AS (SELECT x.model, avg(sign(x.a - y.b)) AS delta FROM rp x JOIN rp y USING (model) GROUP BY x.model) SELECT model, round(delta, 6) AS delta, CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS effect FROM d",
     "holm_adjustment": "WITH q AS (SELECT condition_id AS condition, question_id, avg(chrf) FILTER (WHERE NOT isnan(chrf)) AS v FROM answers GROUP BY ALL), p AS (SELECT condition, round(avg(v) / 17, 6) AS p FROM q GROUP BY condition HAVING avg(v) IS NOT NULL), s AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, condition) + 1) * p) AS sc FROM p), a AS (SELECT condition, p, max(sc) OVER (ORDER BY p, condition ROWS UNBOUNDED PRECEDING) AS adj FROM s) SELECT condition, p, round(adj, 6) AS p_adjusted, adj <= 0.05 AS significant FROM a",
     "paired_statistics": f"WITH {_RAG}, d AS (SELECT model, round(a - b, 6) AS d FROM rp WHERE round(a - b, 6) <> 0), k AS (SELECT *, (rank() OVER (PARTITION BY model ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, abs(d)) - 1) / 2.0)::DOUBLE AS rank FROM d) SELECT model, count(*) AS n, round(sum(CASE WHEN d > 0 THEN rank ELSE 0 END), 6) AS w_plus, round(avg(d) * sqrt(count(*)) / nullif(stddev_samp(d), 0), 4) AS t FROM k GROUP BY model",

@@ -147,7 +147,7 @@ def excerpt_and_citation(s, d):
 @query
 def ocr_choice(s, d):
     p = read(s, d, "page_records").where("text IS NOT NULL")
-    p = p.select("page_key", F.substring("text", 1, 40).alias("native_text"), F.when(F.col("page") % 7 == 0, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("ocr_text"))
+    p = p.select("page_key", F.when(F.col("native_chars") < 50, "").otherwise(F.col("text")).alias("native_text"), F.when(F.col("ocr_chars") > 0, F.col("text")).alias("ocr_text"))
     out = ocr.choose_text(p, cfg=IngestConfig(normalise_unicode=False))
     return out.select("page_key", "used_ocr", "ocr_attempted", "ocr_rejected", "native_chars", "ocr_chars", F.md5("text").alias("digest"))
 
@@ -301,7 +301,7 @@ def rag_pairs(s, d):
 
 @query
 def model_pairs_shared(s, d):
-    return rounded(stats.model_pairs(_log(s, d).where("model IN ('sthala-7b', 'vana-3b')"), "chrf"))
+    return rounded(stats.model_pairs(_log(s, d), "chrf"))
 
 
 @query
@@ -378,7 +378,7 @@ def nominal_alpha(s, d):
 
 # transcriptions against pages
 def _transcriptions(s: SparkSession, d: str) -> DataFrame:
-    c = read(s, d, "chunks").where("used_ocr AND page % 5 <> 0").groupBy("source_file", "page").agg(F.min("text").alias("transcription"))
+    c = read(s, d, "chunks").where("used_ocr").groupBy("source_file", "page").agg(F.min("text").alias("transcription"))
     return c.unionByName(c.where("page = 1").select(F.concat("source_file", F.lit(".missing")).alias("source_file"), "page", "transcription"))
 
 
