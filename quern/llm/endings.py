@@ -209,7 +209,7 @@ def open_endings(df: DataFrame, key: str, text: str, frequent: frozenset[str], m
                     out.append((k, "name", "", False, 0, ""))
                     continue
                 script = "thai" if "฀" <= raw[-1][0] <= "๿" else "cjk" if ord(raw[-1][0]) > 0x2FFF else "words"
-                out += [(k, "open", script, d == 0 and script != "words" and len(raw) <= 10, d, c) for d, c in enumerate(contexts(toks, len(toks), 0))]
+                out += [(k, "open", script, bool(alone) and d == 0 and script != "words" and len(raw) <= 10, d, c) for d, c in enumerate(contexts(toks, len(toks), 0))]
             yield pd.DataFrame(out, columns=["key", "kind", "script", "head", "depth", "context"])
 
     rows = df.where(F.length(F.trim(text)) > 0).select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -229,7 +229,7 @@ def broken_off(df: DataFrame, key: str, text: str, per_script: int = sentences.T
     contexts_ = ends.where("kind = 'open'").select("key", "script", "head", "depth", "context")
     counts = context_counts(df, text, frequent, model)
     seen = contexts_.join(counts, "context", "left").na.fill(0, ["n_end", "n_all"])
-    enough = F.col("n_all") >= F.when(F.col("script") == "words", LEAST_SEEN).otherwise(3 * LEAST_SEEN)
+    enough = F.col("n_all") >= F.when((F.col("script") == "words") | (F.col("depth") < 2), LEAST_SEEN).otherwise(3 * LEAST_SEEN)
     best = seen.groupBy("key", "script").agg(
         F.min_by(F.struct("n_end", "n_all"), F.when(enough, F.col("depth"))).alias("c"),
         F.bool_or(F.col("head") & (F.col("n_all") < LEAST_SEEN)).alias("short_name"),
