@@ -16,6 +16,7 @@ removes them; an empty table trains an empty model and gives no row.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -43,6 +44,9 @@ _RUN = re.compile(rf"[    ]?[{re.escape(TERMINATORS)}]+(?:[   ]?»)?[”
 _LETTER = re.compile(r"\w")
 _LINE = re.compile(r"[^\n\r\x0b\x0c\x85  ]+")
 _THAI = re.compile("[฀-๿]")
+_BLANK = re.compile(r"\s*")
+_NEXT = re.compile(r"[^\s,.;:!?।॥。]{0,40}")
+LOOK_BACK = 48  # characters before a mark that are searched for its word
 _GAP = re.compile(r"[^\S\n\r]+")
 
 
@@ -78,9 +82,9 @@ def _quotes(text: str) -> list[tuple[int, int, bool, bool]]:
                 start, mark = i, ch
         elif ch in "”»」』\"" or (ch == "“" and mark == "„"):
             if start >= 0:
-                before = text[floor:start].rstrip("    ")
+                before = text[max(floor, start - 8) : start].rstrip("    ")
                 out.append((start, i + 1, not before or before[-1] in TERMINATORS + "\n", True))
-            elif not any(a < i for a, *_ in out if a >= floor):
+            elif not out or out[-1][0] < floor:
                 out.append((floor, i + 1, True, False))
             start, mark = -1, ""
     if start >= 0:
@@ -91,7 +95,12 @@ def _quotes(text: str) -> list[tuple[int, int, bool, bool]]:
 def nodes(text: str) -> list[tuple[int, int, list[tuple[int, dict]]]]:
     """For each line its start, end and possible breaks: position and what is known there."""
     quotes = _quotes(text)
-    inside = lambda i: any(a < i < b for a, b, *_ in quotes)
+    starts = [a for a, *_ in quotes]  # quotations follow one another
+
+    def inside(i: int) -> bool:
+        k = bisect_left(starts, i) - 1
+        return k >= 0 and i < quotes[k][1]
+
     ends = {b: (a, first, whole) for a, b, first, whole in quotes}
     lines: list = []
     for m in _LINE.finditer(text):
@@ -101,33 +110,33 @@ def nodes(text: str) -> list[tuple[int, int, list[tuple[int, dict]]]]:
             at = lo + r.end()
             while text[at - 1] in "“\"" and at not in ends:  # it opens the next sentence
                 at -= 1
-            rest = text[at:hi]
-            follow = rest.lstrip()
-            if not follow:
+            begin = _BLANK.match(text, at, hi).end()
+            if begin == hi:
                 continue
             mark = next(c for c in r.group() if c in TERMINATORS)
-            gap = len(rest) - len(follow)
-            nxt = follow[0]
+            gap, nxt = begin - at, text[begin]
             if not gap and (nxt in ",;:.-–)" or (mark in ".．" and (nxt.isdigit() or nxt.islower()))):
                 continue
             if mark == "." and not gap and len(r.group()) == 1 and not (nxt.isalpha() or nxt in OPEN_QUOTES):
                 continue
-            before = line[: r.start()]
+            before = line[max(0, r.start() - LOOK_BACK) : r.start()]
             token = re.split(r"[\s(（“«„「\"–'’]", before)[-1].rstrip(".").lower()
             quote = next((ends[e] for e in range(at, lo + r.start(), -1) if e in ends), None)
-            word = re.match(r"[^\s,.;:!?।॥。]*", follow).group().lower()
+            # of a quotation whose start is cut off, only the mark tells whether it opened its sentence, as questions do
+            opens = quote is not None and (quote[1] if quote[2] else mark not in ".．।॥۔。")
+            word = _NEXT.match(text, begin, hi).group().lower()
             abbr = "inner" if token in INNER or (len(token) == 1 and token.isalpha() and before[-1:].isupper()) else "either" if token in EITHER else "none"
             if abbr == "none" and token[:1].isdigit() and token.isdecimal() and word in MONTHS:
                 abbr = "ordinal"
             carry = next((c for c in CARRY_ON if word.startswith(c)), "")
-            found.append((at, {"mark": "dot" if mark in ".．" else mark, "abbr": abbr, "next": _class(nxt), "gap": min(gap, 2), "in": inside(at), "carry": carry, "quote": "none" if quote is None else "first" if quote[1] else "said", "token": token[-8:], "word": word[:8], "digit": token[-1:].isdigit()}))
+            found.append((at, {"mark": "dot" if mark in ".．" else mark, "abbr": abbr, "next": _class(nxt), "gap": min(gap, 2), "in": inside(at), "carry": carry, "quote": "none" if quote is None else "first" if opens else "said", "token": token[-8:], "word": word[:8], "digit": token[-1:].isdigit()}))
         if _THAI.search(line) and 2 * len(_THAI.findall(line)) > sum(map(str.isalpha, line)):
             marks = {at for at, _ in found}
             for g in _GAP.finditer(line.rstrip()):
                 at = lo + g.start()
                 if at in marks or g.start() == 0:
                     continue
-                word, token = text[lo + g.end() : lo + g.end() + 4], line[: g.start()].split()[-1]
+                word, token = text[lo + g.end() : lo + g.end() + 4], line[max(0, g.start() - LOOK_BACK) : g.start()].split()[-1]
                 found.append((at, {"mark": "gap", "abbr": "none", "next": _class(word[:1]), "gap": min(len(g.group()), 2), "in": inside(at), "carry": "", "quote": "none", "token": token[-4:], "word": word, "digit": token[-1:].isdigit()}))
             found.sort(key=lambda x: x[0])
         lines.append((lo, hi, found))

@@ -40,6 +40,7 @@ def test_sentences_of_odd_text(model):
     assert cut("", model) == [] and sentences.units(None, model) == [] and cut(" … \n -", model) == []
     assert cut("Heading\nOne line. Two", model) == ["Heading", "One line.", "Two"]
     assert cut("no break at all", sentences.train([])) == ["no break at all"]
+    assert cut("ಕೆರೆ ಒಣಗುವುದಿಲ್ಲ. ಅದು ನಮ್ಮದು.” ಇಲ್ಲಿ ರೈತರು ಇದ್ದರು.", model) == ["ಕೆರೆ ಒಣಗುವುದಿಲ್ಲ. ಅದು ನಮ್ಮದು.”", "ಇಲ್ಲಿ ರೈತರು ಇದ್ದರು."]
     long = "Dr. Vale came. " * 20_000
     assert len(cut(long, model)) == 20_000
 
