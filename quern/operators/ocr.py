@@ -48,6 +48,22 @@ def last_of_page(pages: DataFrame, order: str) -> DataFrame:
     return pages.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def whole_transcriptions(chunks: DataFrame) -> DataFrame:
+    """Rows (source_file, page, transcription): the distinct chunks of a page in the order of char_start, overlaps once.
+
+    char_start counts in the transcription. Chunks are stripped, so what lies between two that don't touch
+    was white space, and is filled with as many spaces. Bounded by a page.
+    """
+    piece = F.when(F.col("text").isNotNull(), F.struct("char_start", "text"))
+    pieces = chunks.groupBy("source_file", "page").agg(F.array_sort(F.collect_set(piece)).alias("pieces"))
+
+    def add(done: Column, x: Column) -> Column:
+        over = F.length(done) - x["char_start"]
+        return F.concat(done, F.repeat(F.lit(" "), -over), F.substring(x["text"], F.greatest(over, F.lit(0)) + 1, F.length(x["text"])))
+
+    return pieces.select("source_file", "page", F.when(F.size("pieces") > 0, F.aggregate("pieces", F.lit(""), add)).alias("transcription"))
+
+
 def match_transcriptions(transcriptions: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(matched, unmatched) transcriptions by source_file and page."""
     keys = ["source_file", "page"]

@@ -378,7 +378,7 @@ def nominal_alpha(s, d):
 
 # transcriptions against pages
 def _transcriptions(s: SparkSession, d: str) -> DataFrame:
-    c = read(s, d, "chunks").where("used_ocr").groupBy("source_file", "page").agg(F.min("text").alias("transcription"))
+    c = ocr.whole_transcriptions(read(s, d, "chunks").where("used_ocr"))
     return c.unionByName(c.where("page = 1").select(F.concat("source_file", F.lit(".missing")).alias("source_file"), "page", "transcription"))
 
 

@@ -113,6 +113,26 @@ def test_error_rates(spark):
     assert a.cer == pytest.approx(1 / 3) and a.wer == 1 and math.isnan(b.cer)
 
 
+def test_transcription_is_rebuilt_from_all_chunks(spark):
+    whole = "zeta one two  three four"
+    cuts = [(0, 8), (5, 12), (14, 19), (17, 24)]
+    rows = [("f", 1, a, whole[a:b]) for a, b in reversed(cuts)] * 2 + [("f", 2, 0, "alone"), ("f", 3, 0, None)]
+    got = {r.page: r.transcription for r in ocr.whole_transcriptions(spark.createDataFrame(rows, "source_file string, page int, char_start int, text string")).collect()}
+    assert got == {1: whole, 2: "alone", 3: None}
+
+
+def test_transcription_queries_take_whole_pages(spark, tmp_path):
+    from quern import queries
+
+    whole = "beta one alpha two gamma"
+    rows = [("f", 1, a, whole[a:b], True) for a, b in ((9, 18), (0, 14), (16, 24))]
+    spark.createDataFrame(rows, "source_file string, page int, char_start int, text string, used_ocr boolean").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([(1, "f", 1, whole, True)], "page_key long, source_file string, page int, text string, used_ocr boolean").write.parquet(str(tmp_path / "page_records.parquet"))
+    r = queries.transcription_join(spark, str(tmp_path)).first()
+    assert (r.ref_len, r.hyp_len) == (len(whole), len(whole))
+    assert {b.block: b.cer for b in queries.ocr_error_blocks(spark, str(tmp_path)).collect()}["all"] == 0
+
+
 def test_support(spark):
     df = spark.createDataFrame([(1, "The temple is old. Zzzz qqqq.", "the temple is old indeed"), (2, "", "x"), (3, "One. Two.", "")], "k int, a string, c string")
     r = {x.k: x for x in ov.support(df, ["k"], "a", "c").collect()}
