@@ -42,23 +42,25 @@ def build_index(spark: SparkSession, cfg: PipelineConfig, encode: Encoder, pages
     return io.load_index(spark, cfg.index_dir, cfg.fingerprint)
 
 
-def ask(questions: DataFrame, index: DataFrame, cfg: PipelineConfig, encode: Encoder, language_guard: bool = True, k: int | None = None) -> DataFrame:
+def ask(questions: DataFrame, index: DataFrame, cfg: PipelineConfig, encode: Encoder, language_guard: bool = True, k: int | None = None, repeats: int | None = None) -> DataFrame:
     """Answers to questions (question_id, question): status, answer, selected and candidate chunks, prompt, generation, sources.
 
     Questions in another script are turned away before any other work; those without support
     abstain before generation. Each branch is filtered first, so that no model is called in vain.
+    With repeats there are so many rows a question, numbered in ``repeat``: each has its own generation, retrieval is shared.
     """
     rows = questions.withColumn("_ok", tx.is_mostly(F.coalesce(F.col("question"), F.lit(""))) if language_guard else F.lit(True))
     turned = rows.where(~F.col("_ok")).drop("_ok").withColumns({"status": F.lit("rejected_language"), "answer": F.lit(prompts.OTHER_LANGUAGE)})
     rows = rows.where("_ok").drop("_ok")
+    turned = _repeated(turned, repeats)
     if not cfg.use_retrieval:
         plain = rows.withColumn("prompt", prompts.build_prompt(F.col("question"), F.lit(None).cast("string")))
-        return _generated(plain, cfg).unionByName(turned, allowMissingColumns=True)
+        return _generated(_repeated(plain, repeats), cfg).unionByName(turned, allowMissingColumns=True)
     rcfg = cfg.retrieval if k is None else dataclasses.replace(cfg.retrieval, k_max=k)
     asked = encode(rows.select("question_id", tx.normalise(F.col("question"), cfg.ingest.unicode_form).alias("normalised_query")), "normalised_query")
     found = retrieval.top_k(asked, index, rcfg.k_max, "question_id", "chunk_id").join(index.select("chunk_id", "source_file", "page", "used_ocr", "text"), "chunk_id")
     results = durable(retrieval.retrieval_results(asked, found, rcfg, "question_id").withColumnRenamed("query_id", "question_id"))
-    rows = rows.join(results, "question_id")
+    rows = _repeated(rows.join(results, "question_id"), repeats)
     silent = rows.where("abstained").withColumns({"status": F.lit("abstained"), "answer": F.lit(prompts.ABSTENTION)})
     spoken = rows.where("NOT abstained").withColumn("context", retrieval.context(F.col("selected")))
     spoken = _generated(spoken.withColumn("prompt", prompts.build_prompt(F.col("question"), F.col("context"))), cfg)
@@ -67,6 +69,12 @@ def ask(questions: DataFrame, index: DataFrame, cfg: PipelineConfig, encode: Enc
     return out.withColumn("sources", F.transform("selected", source))
 
 
+def _repeated(rows: DataFrame, n: int | None) -> DataFrame:
+    if n is None:
+        return rows
+    return rows.crossJoin(F.broadcast(rows.sparkSession.range(n).select(F.col("id").cast("int").alias("repeat"))))
+
+
 def _generated(rows: DataFrame, cfg: PipelineConfig) -> DataFrame:
     done = generate(rows, cfg.generation)
     return done.withColumns({"status": F.when(F.col("generation.error").isNotNull(), "error").otherwise("ok"), "answer": F.col("generation.text")})
@@ -74,10 +82,8 @@ def _generated(rows: DataFrame, cfg: PipelineConfig) -> DataFrame:
 
 def run_condition(questions: DataFrame, index: DataFrame, cfg: PipelineConfig, encode: Encoder, metrics: MetricConfig | None = None, candidate_k: int | None = None) -> DataFrame:
     """Log records of one condition: repeats by questions, answered and scored. questions have the QUESTION schema."""
-    spark = questions.sparkSession
-    repeats = spark.range(cfg.generation.num_repeats).select(F.col("id").cast("int").alias("repeat"))
-    answered = ask(questions.select("question_id", "question"), index, cfg, encode, k=candidate_k)
-    rows = durable(F.broadcast(repeats).crossJoin(questions).join(answered.drop("question"), "question_id"))
+    answered = ask(questions.select("question_id", "question"), index, cfg, encode, k=candidate_k, repeats=cfg.generation.num_repeats)
+    rows = durable(questions.join(answered.drop("question"), "question_id"))
     scored = rows.where(F.col("answerable") & (F.length(F.trim("answer")) > 0) & (F.size("references") > 0))
     scores = ov.best_over_references(scored, ["question_id", "repeat"], "answer", "references", metrics)
     out = rows.join(scores, ["question_id", "repeat"], "left")

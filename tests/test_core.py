@@ -306,6 +306,19 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert "overall" in out and (tmp_path / "tables" / "provenance.json").exists()
 
 
+@pytest.mark.parametrize("use_retrieval", [True, False])
+def test_each_repeat_has_its_own_generation(spark, tmp_path, monkeypatch, use_retrieval):
+    cfg = PipelineConfig(index_dir=str(tmp_path / "index"), chunk=ChunkConfig(40, 0), use_retrieval=use_retrieval, generation=PipelineConfig().generation.__class__(provider="echo", model="echo", num_repeats=3))
+    monkeypatch.setattr(pipeline, "generate", lambda df, c: generate(df, c).withColumn("generation", F.col("generation").withField("text", F.uuid())))
+    pages = spark.createDataFrame([("f.pdf", 1, "ಅಅಅ ಅಅಅ ಅಅ", False)], "source_file string, page int, text string, used_ocr boolean").withColumns({"ocr_attempted": F.lit(False), "ocr_rejected": F.lit(False), "kannada_ratio": F.lit(1.0)})
+    index = pipeline.build_index(spark, cfg, encode, pages)
+    rows = [(i, t, "easy", ["ಅಅಅ"], True, ["f.pdf#p1#c0"], [1], "f.pdf") for i, t in (("q1", "ಅಅ ಅ"), ("q2", "English?"), ("q3", "ಅಅಅ"))]
+    q = spark.createDataFrame(rows, "question_id string, question string, difficulty string, references array<string>, answerable boolean, gold_chunk_ids array<string>, gold_pages array<int>, source_file string")
+    out = pipeline.run_condition(q, index, cfg, encode).select("question_id", "repeat", "answer").collect()
+    assert sorted((r.question_id, r.repeat) for r in out) == [(i, n) for i in ("q1", "q2", "q3") for n in range(3)]
+    assert len({r.answer for r in out if r.question_id != "q2"}) == 6
+
+
 def test_echo_forms_agree(spark):
     df = spark.createDataFrame([("ಪ್ರಶ್ನೆ", "[1] (f p.1) first\n\nsecond"), ("ಪ್ರಶ್ನೆ", None)], "q string, c string").withColumn("prompt", prompts.build_prompt(F.col("q"), F.col("c")))
     cfg = PipelineConfig().generation.__class__(provider="echo")
