@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 RESAMPLES, LEVEL, SEED = 10_000, 0.95, 20240101
+BLOCK = 1 << 20  # values drawn at a time
 EXACT_UP_TO = 25
 
 
@@ -28,8 +29,9 @@ def interval(values: Sequence[float], n_resamples: int = RESAMPLES, level: float
         return (math.nan,) * 4 + (0,)
     if len(v) == 1:
         return float(v[0]), float(v[0]), float(v[0]), 0.0, 1
-    draws = v[np.random.default_rng(seed).integers(0, len(v), (n_resamples, len(v)))]
-    stats = statistic(draws, axis=1)
+    rng, rows = np.random.default_rng(seed), max(1, BLOCK // len(v))
+    blocks = (min(rows, n_resamples - k) for k in range(0, n_resamples, rows))
+    stats = np.concatenate([statistic(v[rng.integers(0, len(v), (m, len(v)))], axis=1) for m in blocks])
     low, high = np.quantile(stats, [(1 - level) / 2, 1 - (1 - level) / 2])
     return float(statistic(v)), float(low), float(high), float(v.std(ddof=1)), len(v)
 

@@ -319,12 +319,12 @@ def holm_adjustment(s, d):
 
 @query
 def paired_comparison(s, d):
-    return stats.rag_ablation(_log(s, d), "chrf", 2000)
+    return stats.rag_ablation(_log(s, d), "chrf")
 
 
 @query
 def pairwise_significance(s, d):
-    return stats.significance(_log(s, d), "chrf", 2000)
+    return stats.significance(_log(s, d), "chrf")
 
 
 @query
@@ -342,7 +342,7 @@ def paired_statistics(s, d):
 @query
 def bootstrap_ci(s, d):
     q = log.question_means(_log(s, d), "chrf", ["model"])
-    return stats.bootstrap(q, ["model"], "value", "question_id", 2000)
+    return stats.bootstrap(q, ["model"], "value", "question_id")
 
 
 @query

@@ -226,6 +226,28 @@ def test_bootstrap_is_the_stated_one(spark):
     assert (r.ci_low, r.ci_high) == tuple(np.quantile(draws, [0.025, 0.975])) or np.allclose((r.ci_low, r.ci_high), np.quantile(draws, [0.025, 0.975]))
 
 
+def test_bootstrap_queries_draw_the_whole_number(monkeypatch):
+    from quern import queries
+
+    drawn = []
+    monkeypatch.setattr(queries, "_log", lambda s, d: None)
+    monkeypatch.setattr(queries.log, "question_means", lambda *a, **k: None)
+    for name in ("bootstrap", "rag_ablation", "significance"):
+        default = getattr(stats, name).__defaults__[0 if name != "bootstrap" else -3]
+        at = 4 if name == "bootstrap" else 2
+        monkeypatch.setattr(queries.stats, name, lambda *a, at=at, default=default, **k: drawn.append(a[at] if len(a) > at else k.get("n_resamples", default)))
+    for name in ("bootstrap_ci", "paired_comparison", "pairwise_significance"):
+        queries.REGISTRY[name](None, "")
+    assert drawn == [10_000] * 3
+
+
+def test_bootstrap_blocks_are_the_one_matrix(monkeypatch):
+    v = np.random.default_rng(1).random(37)
+    draws = v[np.random.default_rng(stats.SEED).integers(0, 37, (1000, 37))].mean(axis=1)
+    monkeypatch.setattr(stats, "BLOCK", 111)
+    assert np.allclose(stats.interval(v, 1000)[1:3], np.quantile(draws, [0.025, 0.975]), rtol=0, atol=1e-12)
+
+
 def test_cliffs_delta_against_all_pairs(spark):
     rng = random.Random(2)
     a, b = [rng.randint(0, 5) for _ in range(30)], [rng.randint(0, 5) for _ in range(20)]
