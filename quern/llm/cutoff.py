@@ -28,7 +28,7 @@ from quern.session import durable
 
 SHINGLE, BANDS, ROWS = 5, 16, 4
 SIMILARITY = 0.8
-GROUP = 20_000  # rows of a bucket that one task orders; larger ones are split, and still meet the bucket's longest text
+BLOCK = 2_000  # rows of a bucket that meet the whole bucket in one task
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]")
 _SEEDS = np.random.default_rng(7).integers(1, (1 << 61) - 1, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
@@ -87,31 +87,36 @@ def judge_pair(short: str, long: str) -> bool | None:
 
 
 def near_copies(rows: DataFrame) -> DataFrame:
-    """Rows (id, partner) of distinct texts that may be near-copies, ``partner`` the longer one.
+    """Rows (id, partner) of all distinct texts of a band bucket that judge_pair may tell about.
 
-    rows: id, text, distinct texts. In each band bucket a text meets the bucket's longest text and
-    its successor in the order of the texts, which is the one that goes on where a cut copy
-    stops; no bucket is expanded into all its pairs.
+    rows: id, text, distinct texts. A text whose words must tell meets each other text of its buckets, but for those
+    that judge_pair turns away by the numbers of words or shingles alone. Large buckets are worked in blocks.
     """
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i, t in zip(b.id, b.text):
-                h = shingles(tokens(t))
-                if len(h):
-                    out += [(i, len(t), k, t[:24]) for k in bands(h)]
-            yield pd.DataFrame(out, columns=["id", "size", "band", "head"])
-
-    keyed = rows.mapInPandas(sketch, "id string, size int, band bigint, head string")
-    keyed = durable(keyed.join(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band"), "band", "left_semi"))
-    hubs = keyed.groupBy("band").agg(F.max_by("id", F.struct("size", "id")).alias("partner"), F.max("size").alias("top"))
-    star = keyed.join(hubs, "band").where("id <> partner AND size < top").select("id", "partner")
-    heads = keyed.groupBy("band", "head").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts")).where("parts > 1")
-    split = keyed.join(heads, ["band", "head"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1).cast("bigint"))))
-    order = Window.partitionBy("band", "head", "part").orderBy("size", "id")
-    following = split.withColumn("partner", F.lead("id").over(order)).where("partner IS NOT NULL").select("id", "partner")
-    return star.unionByName(following).distinct()
+                h = shingles(toks := tokens(t))
+                if not len(h):
+                    continue
+                known = {t: (len(toks), len(h))}
+
+                def counts(x: str) -> tuple[int, int]:
+                    if x not in known:
+                        known[x] = len(k := tokens(x)), len(shingles(k))
+                    return known[x]
+
+                short = counts(endings.body(endings._DOTS.sub("", t))) if endings.closes(t) is None else (None, None)
+                out += [(i, k, *short, *counts(endings.body(t))) for k in bands(h)]
+            yield pd.DataFrame(out, columns=["id", "band", "words", "grams", "words_b", "grams_b"]).astype({"words": "Int32", "grams": "Int32"})
+
+    keyed = rows.mapInPandas(sketch, "id string, band bigint, words int, grams int, words_b int, grams_b int")
+    keyed = durable(keyed.join(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "band")).withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int"))
+    short = keyed.where(F.col("words") >= SHINGLE).select("id", "band", "words", "grams", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    long = keyed.select(F.col("id").alias("partner"), "band", "words_b", "grams_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    alike = F.least("grams", "grams_b") >= F.greatest("grams", "grams_b") * F.lit(SIMILARITY)
+    return short.join(long, ["band", "part"]).where((F.col("id") != F.col("partner")) & (F.col("words_b") >= F.col("words")) & alike).select("id", "partner").distinct()
 
 
 def cut_off(outputs: DataFrame) -> DataFrame:

@@ -213,6 +213,19 @@ def test_cut_off(spark):
     assert cutoff.cut_off(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [2000, 2])
+def test_every_near_copy_is_a_candidate(spark, monkeypatch, block):
+    monkeypatch.setattr(cutoff, "BLOCK", block, raising=False)
+    base = [f"w{i}" for i in range(60)]
+    cut = " ".join(base[:56])
+    other = " ".join(["another", *base[1:56], "x y z."])
+    whole, longest = " ".join(["unlike", *base[1:]]) + " end.", " ".join(base) + " and so on it goes."
+    rows = {"cut": cut, "other": other, "whole": whole, "longest": longest}
+    got = {(r.id, r.partner) for r in cutoff.near_copies(spark.createDataFrame(list(rows.items()), "id string, text string")).collect()}
+    wanted = {(a, b) for a in rows for b in rows if a != b and cutoff.endings.closes(rows[a]) is None and cutoff.judge_pair(rows[a], rows[b]) is not None}
+    assert ("cut", "whole") in wanted and wanted <= got
+
+
 def test_aligned_end_against_full_matrix():
     rng = random.Random(9)
     for _ in range(100):
