@@ -17,39 +17,40 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.llm import lookalike
 from quern.session import durable
 
-#: The items are held by every task; more than so many characters of them are refused.
-MAX_ITEM_CHARS = 5_000_000
+#: Every task holds the items of one block, about so many characters; more items are taken in more blocks, each of which scans the documents.
+BLOCK_CHARS = 5_000_000
 #: Up to so many documents with candidates (some 30 bytes each) are broadcast to the second scan; beyond, they are joined by a shuffle.
 MAX_BROADCAST_DOCUMENTS = 1_000_000
+SLICE = 1024  # documents that are cut into words at once
 SEED, STRIDE = 14, 7  # characters of a seed, without spaces and punctuation, and steps between seeds
 SEED_WIDE, STRIDE_WIDE = 7, 3  # the same in scripts of wide characters
-FIRST_SHARE = 0.15  # of an item's seeds that make a pair worth keeping
 RARE_WORD = 0.03  # a word is rare if no more than this share of the documents with the item's most frequent word have it,
 RARE_MEAN = 0.6  # or if the documents with the n-grams around it have this share of the item on average
 SEED_SHARE = 0.10  # of an item's seeds, rare ones only, that make a candidate
 HELD = 0.42  # share of an item's text that a document must hold ("about half")
 LEAST_SCORE = 8.0  # of an alignment that counts
 MATCH, RARE_MATCH, MISS, RARE_MISS, GAP = 1.0, 2.0, -1.5, -2.5, -1.5
-PASSAGES = 8  # alignments of one item with one window
 
 _WORDS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}]|\p{Nd}+|(?:(?![\p{Nd}\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}])[\p{L}\p{M}\p{N}])+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 _ODD = re.compile(f"[{lookalike.ZERO_WIDTH}{lookalike.JOINERS}\u0370-\u04FF\u0C00-\u0C7F\u3000\uFF00-\uFFEF]")
-_GAPS = re.compile(r"[^\w\u0300-\u036F\u0900-\u0DFF\u0E00-\u0E7F\u064B-\u065F]+|_+")
-_FIRST = re.compile(r"^.*?(?:[.!?।॥。؟۔:]|\n)\s*", re.S)
+GAPS, ALONE = r"[^\pL\pM\pN]+", r"([\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}])"
+FIRST = r"(?s)^.*?(?:[.!?।॥。؟۔:]|\n)\s*"
 _DIGIT = re.compile(r"[٠-٩۰-۹०-९౦-౯೦-೯๐-๙]+")
 
 
@@ -68,78 +69,101 @@ def words(folded: str) -> list[str]:
     return _WORDS.findall(folded)
 
 
-def _without_instruction(texts: dict[int, str]) -> dict[int, str]:
-    """The items' texts without opening sentences that several items share."""
-    first = Counter(m.group().strip() for t in texts.values() if (m := _FIRST.match(t)))
-    out = {}
-    for k, t in texts.items():
-        m = _FIRST.match(t)
-        out[k] = t[m.end() :] if m and first[m.group().strip()] > 2 and m.end() < 0.6 * len(t) else t
-    return out
+def spaced(texts: list[str]) -> pa.Array:
+    """The folded texts as words with spaces between; a character of a script without spaces is a word."""
+    plain = pc.replace_substring_regex(pa.array([fold(t) for t in texts], pa.large_string()), GAPS, " ")
+    return pc.replace_substring_regex(plain, ALONE, r" \1 ")
+
+
+def own_texts(items: DataFrame) -> DataFrame:
+    """Rows (item_id, text): one text an item, without an opening sentence that more than two items share."""
+    one = items.where("item_id IS NOT NULL AND length(text) > 0").groupBy("item_id").agg(F.max("text").alias("text"))
+    one = one.withColumn("head", F.regexp_extract("text", FIRST, 0))
+    same = F.count(F.lit(1)).over(Window.partitionBy(F.trim("head")))
+    shared = (same > 2) & (F.length("head") > 0) & (F.length("head") < 0.6 * F.length("text"))
+    return one.select(F.col("item_id").cast("bigint").alias("item_id"), F.when(shared, F.expr("substring(text, length(head) + 1)")).otherwise(F.col("text")).alias("text"))
 
 
 class Items:
-    """The evaluation items, their seeds and the automaton that finds these."""
+    """A block of the evaluation items, their seeds and the automaton that finds these.
+
+    A slot is a place of a seed in an item; a seed that several items have, has several slots.
+    """
 
     def __init__(self, rows: list[tuple[int, str]]):
-        texts = _without_instruction({k: t for k, t in rows if t})
-        self.tokens = {k: toks for k, t in texts.items() if (toks := words(fold(t)))}
+        self.tokens = {k: toks for k, t in rows if (toks := words(fold(t)))}
+        self.keys = list(self.tokens)
         self.size = {k: sum(map(len, toks)) for k, toks in self.tokens.items()}
-        where: dict[str, list[tuple[int, int]]] = defaultdict(list)  # seed: item and number of the seed there
         self.places: dict[int, list[int]] = {}  # where the item's seeds start
         self.length: dict[int, int] = {}
-        for k, toks in self.tokens.items():
+        self.base: dict[int, int] = {}  # the item's first slot
+        where: dict[str, list[int]] = {}
+        owner: list[int] = []
+        for number, (k, toks) in enumerate(self.tokens.items()):
             joined = "".join(toks)
             wide = 2 * len(_WIDE.findall(joined)) > len(joined)
             n, step = (SEED_WIDE, STRIDE_WIDE) if wide else (SEED, STRIDE)
             n = min(n, len(joined))
-            self.length[k] = n
+            self.length[k], self.base[k] = n, len(owner)
             self.places[k] = sorted({*range(0, len(joined) - n + 1, step), len(joined) - n})
-            for i, at in enumerate(self.places[k]):
-                where[joined[at : at + n]].append((k, i))
-        self.where = dict(where)
-        self.vocabulary = {w for toks in self.tokens.values() for w in toks}
+            for at in self.places[k]:
+                where.setdefault(joined[at : at + n], []).append(len(owner))
+                owner.append(number)
+        self.seeds = list(where)
+        self.slots = [np.array(v) for v in where.values()]
+        self.owner = np.array(owner, int)
+        self.n_places = np.array([len(self.places[k]) for k in self.keys], float)
+        self.vocabulary = sorted({w for toks in self.tokens.values() for w in toks})
         self.rare: dict[int, list[bool]] = {}
-        self.rare_seeds: dict[int, set[int]] = {}
+        self.rare_slot = np.zeros(len(owner), bool)
         self._automaton: ahocorasick.Automaton | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_automaton": None}
 
-    def hits(self, spaced: str) -> dict[int, set[int]]:
-        """Per item the numbers of its seeds that the text has, which is folded and has spaces only between words."""
+    def found(self, text: str) -> list[int]:
+        """The numbers of the seeds that a spaced text has."""
         if self._automaton is None:
             self._automaton = ahocorasick.Automaton()
-            for s, places in self.where.items():
-                self._automaton.add_word(s, places)
-            if self.where:
+            for i, s in enumerate(self.seeds):
+                self._automaton.add_word(s, i)
+            if self.seeds:
                 self._automaton.make_automaton()
-        found: dict[int, set[int]] = {}
-        if self.where:
-            for _, places in self._automaton.iter(spaced.replace(" ", "")):
-                for k, i in places:
-                    found.setdefault(k, set()).add(i)
-        return found
-
-    def present(self, spaced: str) -> set[str]:
-        """The words of the items that the text has."""
-        return self.vocabulary.intersection(words(spaced) if _WIDE.search(spaced) else spaced.split())
-
-    def learn(self, seeds: list[tuple[int, int, int, float]], documents: dict[str, int]) -> None:
-        """Rare words and seeds from (item, seed, documents, sum of shares) and the documents per word."""
-        telling = {(k, i) for k, i, n, total in seeds if total >= RARE_MEAN * n}
+        return list({i for _, i in self._automaton.iter(text.replace(" ", ""))}) if self.seeds else []
+
+    def shares(self, seeds: list[int], rare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of seeds and, per item, the share of its seeds that they are."""
+        slots = np.concatenate([self.slots[i] for i in seeds])
+        if rare:
+            slots = slots[self.rare_slot[slots]]
+        return slots, np.bincount(self.owner[slots], minlength=len(self.keys)) / self.n_places
+
+    def documents_with(self, texts: pa.Array) -> np.ndarray:
+        """Of each word of the vocabulary, how many of the spaced texts have it."""
+        lists, n = pc.utf8_split_whitespace(texts), len(self.vocabulary)
+        word = pc.index_in(pc.list_flatten(lists), value_set=pa.array(self.vocabulary, pa.large_string()))
+        known = pc.is_valid(word)
+        at, doc = word.filter(known).to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).filter(known).to_numpy(zero_copy_only=False)
+        return np.bincount(np.unique(doc.astype(np.int64) * n + at) % n, minlength=n) if n else np.zeros(0, np.int64)
+
+    def learn(self, documents: np.ndarray, with_seed: np.ndarray, total: np.ndarray) -> None:
+        """Rare words and seeds, from the documents per word and per slot and the sum of these documents' shares per slot."""
+        having = dict(zip(self.vocabulary, documents.tolist()))
+        telling = (with_seed > 0) & (total >= RARE_MEAN * with_seed)
         for k, toks in self.tokens.items():
-            most = max(documents.get(w, 0) for w in toks)
-            at, flags, rare_seeds = 0, [], set()
+            most = max(having[w] for w in toks)
+            at, flags, base = 0, [], self.base[k]
             for w in toks:
                 over = [i for i, p in enumerate(self.places[k]) if p < at + len(w) and at < p + self.length[k]]
-                rare = documents.get(w, 0) <= RARE_WORD * most and len(w) > 1
-                flags.append(rare or bool(over) and all((k, i) in telling for i in over))
+                rare = having[w] <= RARE_WORD * most and len(w) > 1
+                flags.append(rare or bool(over) and all(telling[base + i] for i in over))
                 if flags[-1]:
                     least = min(len(w), 4)
-                    rare_seeds |= {i for i in over if min(self.places[k][i] + self.length[k], at + len(w)) - max(self.places[k][i], at) >= least}
+                    for i in over:
+                        if min(self.places[k][i] + self.length[k], at + len(w)) - max(self.places[k][i], at) >= least:
+                            self.rare_slot[base + i] = True
                 at += len(w)
-            self.rare[k], self.rare_seeds[k] = flags, rare_seeds
+            self.rare[k] = flags
 
     def held(self, k: int, doc: list[str], spots: list[int]) -> float:
         """The share of item ``k``'s characters covered by alignments with the document near ``spots`` (word numbers)."""
@@ -161,10 +185,10 @@ class Items:
 
     @staticmethod
     def _align(ids: np.ndarray, rare: np.ndarray, doc: np.ndarray, covered: np.ndarray) -> None:
-        """Marks what the best local alignments of the item's open words with ``doc`` cover."""
+        """Marks what the best local alignments of the item's open words with ``doc`` cover, one after the other while they count."""
         m = len(doc)
         slope = GAP * np.arange(m + 1)
-        for _ in range(PASSAGES):
+        while not covered.all():
             grid = np.zeros((len(ids) + 1, m + 1))
             for i, word in enumerate(ids):
                 if covered[i]:
@@ -199,57 +223,73 @@ class Items:
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, item_id, held): the documents that hold about half of an item's text or more.
 
-    ``items`` is a fixed set of evaluation texts, broadcast after a check of its size.
+    ``items`` is a fixed set of evaluation texts; it is taken in blocks of BLOCK_CHARS, each broadcast and scanned
+    for on its own. Blocks don't change the result: what an item needs to know of others is found before.
     """
-    spark = documents.sparkSession
-    items = items.where("item_id IS NOT NULL AND text IS NOT NULL")
-    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > MAX_ITEM_CHARS:
-        raise ValueError("too many evaluation items to hold at once: call leaks() with blocks of them")
-    them = Items([(r.item_id, r.text) for r in items.select("item_id", "text").orderBy("item_id", "text").collect()])
-    shared = spark.sparkContext.broadcast(them)
     docs = documents.where(F.length(text) > 0).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    own = own_texts(items)
+    blocks = max(1, -(-(own.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
+    out = None
+    for block in range(blocks):
+        rows = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id").collect()
+        one = _leaks(docs, Items([(r.item_id, r.text) for r in rows]))
+        out = one if out is None else out.unionByName(one)
+    return out
+
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _leaks(docs: DataFrame, them: Items) -> DataFrame:
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(them)
+    schema = pa.schema([("doc", pa.int64()), ("seeds", pa.list_(pa.int32())), ("slot", pa.int32()), ("word", pa.int32()), ("n", pa.int64()), ("total", pa.float64())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        docs_with, share, having = Counter(), Counter(), Counter()
-        columns = ["doc", "item", "seeds", "seed", "word", "n", "total"]
+        with_seed, total, having = np.zeros(len(known.owner), np.int64), np.zeros(len(known.owner)), np.zeros(len(known.vocabulary), np.int64)
+        rows = lambda **c: pa.RecordBatch.from_pydict({f.name: pa.array(c.get(f.name, [None] * len(next(iter(c.values())))), f.type) for f in schema}, schema)
         for b in batches:
-            out = []
-            for d, t in zip(b.doc, b.text):
-                spaced = _GAPS.sub(" ", fold(t))
-                having.update(known.present(spaced))
-                for k, found in known.hits(spaced).items():
-                    part = len(found) / len(known.places[k])
-                    for i in found:
-                        docs_with[k, i] += 1
-                        share[k, i] += part
-                    if part >= FIRST_SHARE:
-                        out.append((d, k, sorted(found), None, None, None, None))
-            yield pd.DataFrame(out, columns=columns)
-        yield pd.DataFrame([(None, k, None, i, None, n, share[k, i]) for (k, i), n in docs_with.items()] + [(None, None, None, None, w, n, None) for w, n in having.items()], columns=columns)
-
-    found = durable(docs.mapInPandas(scan, "doc bigint, item bigint, seeds array<int>, seed int, word string, n bigint, total double"))
-    stats = found.where("doc IS NULL").groupBy("item", "seed", "word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()  # bounded by the items
-    them.learn([(r["item"], r.seed, r.n, r.total) for r in stats if r.word is None], {r.word: r.n for r in stats if r.word is not None})
+            ids, seeds = [], []
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                texts = spaced(part.column("text").to_pylist())
+                having += known.documents_with(texts)
+                for d, t in zip(part.column("doc").to_pylist(), texts.to_pylist()):
+                    if got := known.found(t):
+                        slots, share = known.shares(got)
+                        with_seed[slots] += 1
+                        total[slots] += share[known.owner[slots]]
+                        if share.max() >= SEED_SHARE:
+                            ids.append(d)
+                            seeds.append(got)
+            yield rows(doc=ids, seeds=seeds)
+        some, any_ = np.flatnonzero(with_seed), np.flatnonzero(having)
+        yield rows(slot=some, n=with_seed[some], total=total[some])
+        yield rows(word=any_, n=having[any_])
+
+    found = durable(docs.mapInArrow(scan, "doc bigint, seeds array<int>, slot int, word int, n bigint, total double"))
+    stats = found.where("n IS NOT NULL").groupBy("slot", "word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toPandas()  # bounded by the items
+    documents, with_seed, total = np.zeros(len(them.vocabulary), np.int64), np.zeros(len(them.owner), np.int64), np.zeros(len(them.owner))
+    of_word, of_slot = stats[stats.word.notna()], stats[stats.slot.notna()]
+    documents[of_word.word.astype(int)] = of_word.n
+    with_seed[of_slot.slot.astype(int)], total[of_slot.slot.astype(int)] = of_slot.n, of_slot.total
+    them.learn(documents, with_seed, total)
     learnt = spark.sparkContext.broadcast(them)
 
-    def rare_share(item: pd.Series, seeds: pd.Series) -> pd.Series:
+    def candidates(seeds: pd.Series) -> pd.Series:
         known = learnt.value
-        return pd.Series([len(known.rare_seeds[k].intersection(s)) / len(known.places[k]) for k, s in zip(item, seeds)], dtype="float64")
+        return seeds.map(lambda s: np.flatnonzero(known.shares(s, rare=True)[1] >= SEED_SHARE))
 
-    by_seeds = F.pandas_udf(rare_share, "double")
-    pairs = found.where("doc IS NOT NULL").select("doc", "item", by_seeds("item", "seeds").alias("share")).where(F.col("share") >= SEED_SHARE)
-    per_doc = durable(pairs.groupBy("doc").agg(F.collect_set("item").alias("items")))  # at most all items
+    pairs = found.where("doc IS NOT NULL").select("doc", F.pandas_udf(candidates, "array<int>")("seeds").alias("items")).where(F.size("items") > 0)
+    per_doc = durable(pairs.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")))  # at most all items
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = learnt.value
+        names = {k: {w for w, r in zip(known.tokens[k], known.rare[k]) if r} for k in known.keys}
         for b in batches:
             out = []
             for d, t, ks in zip(b.doc, b.text, b["items"]):
                 doc = words(fold(t))
-                for k in ks:
-                    names = {w for w, r in zip(known.tokens[k], known.rare[k]) if r}
-                    h = known.held(k, doc, [i for i, w in enumerate(doc) if w in names])
+                for k in (known.keys[i] for i in ks):
+                    h = known.held(k, doc, [i for i, w in enumerate(doc) if w in names[k]])
                     if h >= HELD:
                         out.append((d, k, h))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "held"])
