@@ -12,6 +12,7 @@ VERDICTS; empty tables give no claim, no annotator and a null agreement.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,9 @@ K = len(VERDICTS)
 CLAIM = ["question_id", "condition_id", "claim_index"]
 SMOOTHING = 0.5
 ITERATIONS = 12
-#: Up to so many annotators their confusion matrices (128 bytes each) are broadcast; beyond, they are joined.
+TOLERANCE = 1e-3  # the matrices stand still
+SALTS = 16  # parts of an annotator's votes where matrices are joined
+#: Up to so many annotators their confusion matrices (128 bytes each) are broadcast; beyond, they are joined, with the same result.
 MAX_BROADCAST_ANNOTATORS = 100_000
 
 
@@ -107,7 +110,7 @@ def consensus(judgements: DataFrame, iterations: int = ITERATIONS) -> tuple[Data
         prior = (counts[n] + SMOOTHING) / (counts[n] + SMOOTHING).sum()
         moved = float(np.abs(new.reshape(n, K) - theta).max()) if n else 0.0
         theta = new.reshape(n, K)
-        if moved < 1e-3:
+        if moved < TOLERANCE:
             break
     final = spark.sparkContext.broadcast((np.log(theta), np.log(prior)))
 
@@ -128,25 +131,52 @@ def consensus(judgements: DataFrame, iterations: int = ITERATIONS) -> tuple[Data
 
 
 def _consensus_joined(v: DataFrame, iterations: int) -> tuple[DataFrame, DataFrame]:
-    """The same estimate for any number of annotators: matrices stay tables and are joined to the votes."""
+    """The same estimate, from the same start by the same stop, for any number of annotators.
+
+    v: votes with their label l. Confusion matrices stay a table and are joined to the votes, salted by
+    claim, since one annotator may hold a large part of them.
+    """
     ks = range(K)
-    post = v.groupBy(*CLAIM).agg(F.count(F.lit(1)).alias("n"), *(F.avg((F.col("l") == k).cast("double")).alias(f"p{k}") for k in ks))
-    for step in range(iterations):
-        post = durable(post)
-        counts = v.join(post, CLAIM).groupBy("annotator", "l").agg(*(F.sum(f"p{k}").alias(f"c{k}") for k in ks), F.count(F.lit(1)).alias("n_votes"))
-        w = Window.partitionBy("annotator")
-        theta = counts.select("annotator", "l", "n_votes", *(F.log((F.col(f"c{k}") + SMOOTHING) / (F.sum(f"c{k}").over(w) + K * SMOOTHING)).alias(f"t{k}") for k in ks))
-        prior = post.agg(*(F.log((F.sum(f"p{k}") + SMOOTHING) / (F.count(F.lit(1)) + K * SMOOTHING)).alias(f"q{k}") for k in ks))
-        scored = v.join(theta.drop("n_votes"), ["annotator", "l"]).groupBy(*CLAIM).agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"t{k}").alias(f"t{k}") for k in ks)).join(F.broadcast(prior))
-        scored = scored.select(*CLAIM, "n", *((F.col(f"t{k}") + F.col(f"q{k}")).alias(f"s{k}") for k in ks)).withColumn("m", F.greatest(*(f"s{k}" for k in ks)))
+    salt = F.pmod(F.xxhash64(*CLAIM), F.lit(SALTS)).cast("int")
+    v = durable(v.withColumn("salt", salt))
+    names = durable(v.groupBy("annotator").agg(F.count(F.lit(1)).alias("n_votes")))
+    grid = names.select("annotator", F.explode(F.array(*map(F.lit, ks))).alias("l"))
+    theta = grid.select("annotator", "l", *(F.when(F.col("l") == k, 0.7).otherwise(0.3 / (K - 1)).alias(f"t{k}") for k in ks))
+    prior, counts = [1 / K] * K, None
+
+    def expect(theta: DataFrame, prior: list[float]) -> DataFrame:
+        salted = theta.select("annotator", "l", *(F.log(f"t{k}").alias(f"t{k}") for k in ks), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+        per = v.join(salted, ["annotator", "l", "salt"]).groupBy(*CLAIM).agg(F.count(F.lit(1)).cast("int").alias("n_annotators"), *((F.sum(f"t{k}") + F.lit(math.log(prior[k]))).alias(f"s{k}") for k in ks))
+        per = per.withColumn("m", F.greatest(*(f"s{k}" for k in ks)))
         total = sum((F.exp(F.col(f"s{k}") - F.col("m")) for k in ks), F.lit(0.0))
-        post = scored.select(*CLAIM, "n", *((F.exp(F.col(f"s{k}") - F.col("m")) / total).alias(f"p{k}") for k in ks))
+        return per.select(*CLAIM, "n_annotators", *((F.exp(F.col(f"s{k}") - F.col("m")) / total).alias(f"p{k}") for k in ks))
+
+    for _ in range(iterations):
+        post = durable(expect(theta, prior))
+        said = v.join(post, CLAIM).groupBy("annotator", "l").agg(*(F.sum(f"p{k}").alias(f"c{k}") for k in ks))
+        counts = durable(grid.join(said, ["annotator", "l"], "left").na.fill(0.0, [f"c{k}" for k in ks]))
+        sums = counts.groupBy("annotator").agg(*(F.sum(f"c{k}").alias(f"d{k}") for k in ks))
+        new = durable(counts.join(sums, "annotator").select("annotator", "l", *(((F.col(f"c{k}") + SMOOTHING) / (F.col(f"d{k}") + K * SMOOTHING)).alias(f"t{k}") for k in ks)))
+        mass = [x or 0.0 for x in post.agg(*(F.sum(f"p{k}") for k in ks)).first()]
+        prior = [(m + SMOOTHING) / (sum(mass) + K * SMOOTHING) for m in mass]
+        old = theta.withColumnsRenamed({f"t{k}": f"o{k}" for k in ks})
+        moved = new.join(old, ["annotator", "l"]).agg(F.max(F.greatest(*(F.abs(F.col(f"t{k}") - F.col(f"o{k}")) for k in ks)))).first()[0] or 0.0
+        theta = new
+        if moved < TOLERANCE:
+            break
+    post = expect(theta, prior)
     best = F.greatest(*(f"p{k}" for k in ks))
     verdict = F.coalesce(*(F.when(F.col(f"p{k}") == best, F.lit(VERDICTS[k])) for k in ks))
-    posteriors = post.select(*CLAIM, F.col("n").cast("int").alias("n_annotators"), verdict.alias("verdict"), *(F.col(f"p{k}").alias(f"p_{VERDICTS[k]}") for k in ks))
-    right = sum((F.when(F.col("l") == k, F.exp(f"t{k}") * F.exp(f"q{k}")).otherwise(0.0) for k in ks), F.lit(0.0))
-    annotators = theta.join(F.broadcast(prior)).groupBy("annotator").agg(F.sum("n_votes").alias("n_votes"), F.sum(right).alias("accuracy")).withColumn("kappa", F.lit(None).cast("double"))
-    return posteriors, annotators
+    posteriors = post.select(*CLAIM, "n_annotators", verdict.alias("verdict"), *(F.col(f"p{k}").alias(f"p_{VERDICTS[k]}") for k in ks))
+    own = lambda c, f=lambda x, k: x: F.sum(sum((F.when(F.col("l") == k, f(F.col(f"{c}{k}"), k)).otherwise(0.0) for k in ks), F.lit(0.0)))
+    accuracy = theta.groupBy("annotator").agg(own("t", lambda x, k: x * prior[k]).alias("accuracy"))
+    total = F.sum(sum((F.col(f"c{k}") for k in ks), F.lit(0.0)))
+    by_label = counts.withColumn("row", sum((F.col(f"c{k}") for k in ks), F.lit(0.0)))
+    by_label = by_label.join(by_label.groupBy("annotator").agg(*(F.sum(f"c{k}").alias(f"d{k}") for k in ks)), "annotator")
+    met = F.sum(F.col("row") * F.coalesce(*(F.when(F.col("l") == k, F.col(f"d{k}")) for k in ks)))
+    kappa = by_label.groupBy("annotator").agg((own("c") / total).alias("right"), (met / total / total).alias("chance"))
+    kappa = kappa.select("annotator", F.when(F.col("chance") < 1, (F.col("right") - F.col("chance")) / (1 - F.col("chance"))).alias("kappa"))
+    return posteriors, names.join(accuracy, "annotator").join(kappa, "annotator").select("annotator", "n_votes", "accuracy", "kappa")
 
 
 def agreement(judgements: DataFrame) -> DataFrame:

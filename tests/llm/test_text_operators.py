@@ -131,9 +131,21 @@ def test_consensus_beats_majority(spark):
     assert right > 0.88 * 400
     est = {r.annotator: r.accuracy for r in who.collect()}
     assert len(est) == 5 and est["ann-0"] > 0.85 > 0.6 > est["ann-3"]
-    joined = {r.question_id: r.verdict for r in consensus._consensus_joined(consensus.votes(df).withColumn("l", F.array_position(F.array(*map(F.lit, consensus.VERDICTS)), F.col("verdict")).cast("int") - 1).drop("verdict"), 6)[0].collect()}
-    same = sum(joined[r.question_id] == r.verdict for r in post.collect())
-    assert same > 0.95 * 400
+
+
+@pytest.mark.parametrize("iterations", [1, consensus.ITERATIONS])
+def test_consensus_is_the_same_for_any_number_of_annotators(spark, monkeypatch, iterations):
+    rng = random.Random(5)
+    rows = [(0, f"q{c}", "x", 0, f"a{a}", rng.choice(consensus.VERDICTS[: 2 + a]), None, None) for c in range(60) for a in range(3) if rng.random() < 0.8]
+    df = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], JUDGEMENT)
+    got = []
+    for most in (consensus.MAX_BROADCAST_ANNOTATORS, 0):
+        monkeypatch.setattr(consensus, "MAX_BROADCAST_ANNOTATORS", most)
+        post, who = consensus.consensus(df, iterations)
+        got.append(({r.question_id: (r.verdict, r.n_annotators, round(r.p_supported, 9)) for r in post.collect()}, {r.annotator: (r.n_votes, round(r.accuracy, 9), round(r.kappa, 9)) for r in who.collect()}))
+    assert got[0] == got[1]
+    empty = consensus.consensus(df.where("false"))
+    assert empty[0].count() == 0 and empty[1].count() == 0
 
 
 def test_consensus_of_odd_rows(spark):
