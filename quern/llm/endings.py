@@ -3,7 +3,7 @@
 Words that are frequent in their script class stay as they are, numbers become ``#`` and other
 words keep their last letters only. A closing context is the last one to three words (up to
 fourteen characters in scripts without spaces); its terminality is the share of its
-occurrences in the corpus that end a sentence. Counts cover all rows.
+occurrences in the corpus that end a sentence. Counts cover all rows. Contexts are kept as 64-bit keys, made for a batch at once.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,14 +56,40 @@ def mask(word: str, frequent: frozenset[str]) -> str:
     return ("R:" if len(word) > 3 else "r:") + word[-3:]
 
 
-def contexts(tokens: list[str], end: int, start: int) -> list[str]:
-    """The closing contexts of the masked tokens up to ``end``, the longest first."""
-    depths = (14, 9, 5, 3) if _CHAR.match(tokens[end - 1]) else (3, 2, 1)
-    out = []
-    for d in depths:
-        lo = end - d
-        out.append(f"{d} " + " ".join((["<s>"] if lo < start else []) + tokens[max(lo, start) : end]))
-    return list(dict.fromkeys(out))
+def code_of(masked: str) -> tuple[int, bool]:
+    """A masked token as a number, and whether it is a character of a script without spaces."""
+    return xxhash.xxh64_intdigest(masked), bool(_CHAR.match(masked))
+
+
+DEPTHS = {False: (3, 2, 1), True: (14, 9, 5, 3)}
+_MIX, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(xxhash.xxh64_intdigest("<s>"))
+
+
+def contexts(codes: np.ndarray, place: np.ndarray, char: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, int, np.ndarray]]:
+    """Per depth the positions of ``at`` whose contexts have it, its rank (0: the longest) and the contexts as 64-bit keys.
+
+    A context is the tokens up to a position, at most so many as the depth says and with a sign for the sentence's start where it reaches
+    there. codes: the tokens of all sentences in a row; place: each one's place in its sentence; char: whether it is a character.
+    """
+    out, last, started = [], codes[at].copy(), np.zeros(len(at), bool)
+    live = np.arange(len(at))
+    for m in range(1, max(DEPTHS[True]) + 1):
+        if m > 1:
+            if m > max(DEPTHS[False]):
+                live = live[char[at[live]]]
+            here = at[live]
+            inside = place[here] >= m - 1
+            grown, fresh = live[inside], live[~inside & ~started[live]]
+            last[grown] = (last[grown] ^ (last[grown] >> np.uint64(31))) * _MIX + codes[at[grown] - (m - 1)]
+            last[fresh] = (last[fresh] ^ (last[fresh] >> np.uint64(31))) * _MIX + _START
+            started[fresh] = True
+        for kind, depths in DEPTHS.items():
+            if m in depths:
+                own = live[char[at[live]] == kind]
+                if len(own):
+                    key = (last[own] ^ np.uint64(m)) * _MIX
+                    out.append((own, depths.index(m), (key ^ (key >> np.uint64(29))).view(np.int64)))
+    return out
 
 
 def body(text: str) -> str:
@@ -94,33 +122,84 @@ def closes(text: str) -> bool | None:
     return True
 
 
+# Tags that hold nothing.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_SIGNS = regex.compile(r"""(?P<fence>^\s*(?:```|~~~)|```)|(?P<code>`)|(?P<tag></?(?P<name>[A-Za-z][A-Za-z0-9]*)(?:\s[^<>\n]*)?(?P<void>/)?>)|(?P<cut><[A-Za-z/][^<>\n]{0,200}\Z)|(?P<bold>\*\*|__)|(?P<item>^[ \t]*(?:[-*•+]|\d{1,3}[.)])(?=\s|\Z))|(?P<cell>^[ \t]*\|)|(?P<line>\n)|(?P<sign>[()\[\]{}（）「」『』«»【】„“”"])""", regex.M)
+_CLOSING = frozenset(PAIRS.values()) | {"”", "“"}
+
+
 def stack(text: str) -> list[str]:
-    """The brackets, quotations and fences still open at the end, by a pushdown parser.
+    """What is still open at the end: fences, code, brackets, quotations, tags, bold marks, list items and table rows, by a pushdown parser.
 
-    A closer without its opener is passed over: the text may start within it.
+    Within a fence or code only its end counts. A line break ends a list item's head and a table row, and a blank line
+    inline code and bold. A closer without its opener is passed over: the text may start within it. A list item is open
+    while it has no text (only a number that goes on counting or a bullet that was there before makes one), a table row
+    while its last cell has no end.
     """
     open_: list[str] = []
-    i = 0
-    while i < len(text):
-        c = text[i]
-        if text.startswith("```", i):
-            open_.remove("```") if "```" in open_ else open_.append("```")
-            i += 3
+    items: set[str] = set()
+
+    def close(what: str) -> bool:
+        if what in open_:
+            while open_.pop() != what:
+                pass
+            return True
+        return False
+
+    at = 0
+    for m in _SIGNS.finditer(text):
+        kind, sign = m.lastgroup if m.lastgroup not in ("name", "void") else "tag", m.group()
+        if open_ and open_[-1] == "item" and text[at : m.start()].strip():
+            open_.pop()
+        at = m.end()
+        top = open_[-1] if open_ else ""
+        if top == "```" and kind != "fence":
+            continue
+        if top == "`" and kind not in ("code", "line"):
             continue
-        if c == "“" and "“" in open_[-1:]:  # „...“
+        if kind == "fence":
+            close("```") or open_.append("```")
+        elif kind == "code":
+            close("`") or open_.append("`")
+        elif kind == "cut":
+            open_.append(">")
+        elif kind == "tag":
+            name = m.group("name").lower()
+            if sign.startswith("</"):
+                close(f"</{name}>")
+            elif not m.group("void") and name not in VOID:
+                open_.append(f"</{name}>")
+        elif kind == "bold":
+            close(sign) or open_.append(sign)
+        elif kind == "item":
+            mark = sign.strip().rstrip(".)")
+            if (str(int(mark) - 1) if mark.isdecimal() else mark) in items:
+                open_.append("item")
+            items.add(str(int(mark)) if mark.isdecimal() else mark)
+        elif kind == "cell":
+            open_.append("|")
+        elif kind == "line":
+            if top in ("item", "|"):
+                open_.pop()
+            if text[m.end() : m.end() + 1] == "\n":
+                for what in ("`", "**", "__"):
+                    close(what)
+        elif sign == "“" and top == "“":  # „...“
             open_.pop()
-        elif c in "„":
+        elif sign == "„":
             open_.append("“")
-        elif c == "“":
+        elif sign == "“":
             open_.append("”")
-        elif c in PAIRS:
-            open_.append(PAIRS[c])
-        elif c == '"':
-            open_.remove('"') if '"' in open_ else open_.append('"')
-        elif c in open_:
-            while open_.pop() != c:
-                pass
-        i += 1
+        elif sign in PAIRS:
+            open_.append(PAIRS[sign])
+        elif sign == '"':
+            close('"') or open_.append('"')
+        elif sign in _CLOSING:
+            close(sign)
+    if open_ and open_[-1] == "item" and text[at:].strip():
+        open_.pop()
+    if open_ and open_[-1] == "|" and text.rstrip().endswith("|") and text[at:].strip():
+        open_.pop()
     return open_
 
 
@@ -157,24 +236,34 @@ def context_counts(df: DataFrame, text: str, frequent: frozenset[str], model: di
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         freq, m = shared.value
-        memo: dict[str, str] = {}
+        memo: dict[str, tuple[int, bool]] = {}
         for b in batches:
-            ends, total = Counter(), Counter()
+            found: list[tuple[int, bool]] = []
+            sizes: list[int] = []
+            closed: list[bool] = []
             for t in b.t:
                 for unit, whole in _lines(body(t), m):
                     core = unit.rstrip(TERMINATORS + CLOSERS + CLOSE_QUOTES + " ")
-                    toks = [memo.get(w) or memo.setdefault(w, mask(w, freq)) for w in words(core)]
-                    for k in range(1, len(toks) + whole):
-                        ctx = contexts(toks, k, 0)
-                        total.update(ctx)
-                        if k == len(toks):
-                            ends.update(ctx)
-                    if len(memo) > 500_000:
-                        memo.clear()
-            yield pd.DataFrame({"context": list(total), "n_end": [ends[c] for c in total], "n_all": list(total.values())})
+                    toks = [memo.get(w) or memo.setdefault(w, code_of(mask(w, freq))) for w in words(core)]
+                    found += toks
+                    sizes.append(len(toks))
+                    closed.append(whole)
+                if len(memo) > 500_000:
+                    memo.clear()
+            n = np.array(sizes, np.int64)
+            end = np.repeat(np.cumsum(n), n) - 1  # each token's last neighbour
+            place = np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n)
+            is_end = np.arange(len(found)) == end
+            at = np.flatnonzero(~is_end | np.repeat(np.array(closed, bool), n))  # how an unknown end goes on isn't told
+            codes, char = np.fromiter((c for c, _ in found), np.uint64, len(found)), np.fromiter((c for _, c in found), bool, len(found))
+            parts = contexts(codes, place, char, at)
+            keys = np.concatenate([k for *_, k in parts]) if parts else np.zeros(0, np.int64)
+            ends = np.concatenate([is_end[at[own]] for own, *_ in parts]) if parts else np.zeros(0, bool)
+            key, where = np.unique(keys, return_inverse=True)
+            yield pd.DataFrame({"context": key, "n_end": np.bincount(where, ends, len(key)).astype(np.int64), "n_all": np.bincount(where, minlength=len(key))})
 
     rows = df.where(F.length(F.trim(text)) > 0).select(F.col(text).alias("t"))
-    return rows.mapInPandas(count, "context string, n_end bigint, n_all bigint").groupBy("context").agg(F.sum("n_end").alias("n_end"), F.sum("n_all").alias("n_all"))
+    return rows.mapInPandas(count, "context bigint, n_end bigint, n_all bigint").groupBy("context").agg(F.sum("n_end").alias("n_end"), F.sum("n_all").alias("n_all"))
 
 
 def open_endings(df: DataFrame, key: str, text: str, frequent: frozenset[str], model: dict) -> DataFrame:
@@ -192,28 +281,34 @@ def open_endings(df: DataFrame, key: str, text: str, frequent: frozenset[str], m
             out = []
             for k, t in zip(b.k, b.t):
                 t = body(t)
-                done = closes(t)
-                if done is True or not regex.search(r"[\p{L}\p{N}]", t):
+                if not regex.search(r"[\p{L}\p{N}]", t):
                     continue
-                if done is False or stack(t):
-                    out.append((k, "cut", "", False, 0, ""))
+                if stack(t):
+                    out.append((k, "cut", "", False, 0, None))
+                    continue
+                done = closes(t)
+                if done is not None:
+                    if not done:
+                        out.append((k, "cut", "", False, 0, None))
                     continue
                 spans = sentences.units(t, m)
                 unit = _DOTS.sub("", t[spans[-1][0] : spans[-1][1]]).rstrip(TERMINATORS + CLOSERS + CLOSE_QUOTES + " ")
                 raw = words(_BULLET.sub("", unit))
-                toks = [mask(w, freq) for w in words(unit)]
+                toks = [code_of(mask(w, freq)) for w in words(unit)]
                 if not raw:
                     continue
                 alone = len(spans) == 1 or _BULLET.match(unit)
                 if alone and len(raw) == 1 and raw[0] not in freq:
-                    out.append((k, "name", "", False, 0, ""))
+                    out.append((k, "name", "", False, 0, None))
                     continue
                 script = "thai" if "฀" <= raw[-1][0] <= "๿" else "cjk" if ord(raw[-1][0]) > 0x2FFF else "words"
-                out += [(k, "open", script, bool(alone) and d == 0 and script != "words" and len(raw) <= 10, d, c) for d, c in enumerate(contexts(toks, len(toks), 0))]
-            yield pd.DataFrame(out, columns=["key", "kind", "script", "head", "depth", "context"])
+                n = len(toks)
+                for _, d, c in contexts(np.array([c for c, _ in toks], np.uint64), np.arange(n), np.array([c for _, c in toks], bool), np.array([n - 1])):
+                    out.append((k, "open", script, bool(alone) and d == 0 and script != "words" and len(raw) <= 10, d, int(c[0])))
+            yield pd.DataFrame(out, columns=["key", "kind", "script", "head", "depth", "context"], dtype=object)  # keys must not become floats
 
     rows = df.where(F.length(F.trim(text)) > 0).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return rows.mapInPandas(find, "key bigint, kind string, script string, head boolean, depth int, context string")
+    return rows.mapInPandas(find, "key bigint, kind string, script string, head boolean, depth int, context bigint")
 
 
 def broken_off(df: DataFrame, key: str, text: str, per_script: int = sentences.TRAIN_PER_SCRIPT) -> DataFrame:

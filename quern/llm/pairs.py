@@ -1,8 +1,8 @@
 """Problem 5: question and answer pairs that don't work as a pair.
 
-Empty answers, refusals (a small grammar per language), copies of the question (greedy
+Empty answers, refusals (:mod:`quern.llm.refusals`: grammars over categories of words), copies of the question (greedy
 string tiling), answers in another language (script, then function words) and truncated
-answers (a pushdown parser over fences, brackets, quotations and lists, then the
+answers (a pushdown parser over fences, brackets, quotations, lists and markup, then the
 terminality of the closing words). One defect per row, in that order.
 
 Results for odd input: a null answer is empty; a null question leaves only the defects of
@@ -12,7 +12,6 @@ each; an empty table gives none.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,33 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import endings
+from quern.llm.refusals import is_refusal
 from quern.llm.scripts import language, script_counts
 from quern.session import durable
 
 # What stands for "no answer", after punctuation is taken away.
 NOTHING = frozenset("null|none|nil|na|n a|nan|undefined|tbd|answer|ans|a|ಉತ್ತರ|उत्तर|جواب|antwort|réponse|reponse|回答|答案|答|答え|คำตอบ|no answer|empty|blank|unknown".split("|"))
 
-# The refusal grammars. Per language: who declines or excuses, and that answering fails.
-REFUSAL = {
-    "en": (r"\b(i|i'm|i’m|me|my|we|our|us|assistant)\b|\bno answer\b|\bnot possible to\b", r"\b(cannot|can't|can’t|can not|could not|unable|not able|don't feel able|don’t feel able|not in a position|must decline|have to decline|decline to|must refuse|rather not|won't|will not|no answer (can|could) be|not possible|not comfortable|not permitted|not allowed)\b"),
-    "de": (r"\b(ich|mir|wir|uns)\b|\bleider\b", r"\b(nicht|nichts|keine|kein|unmöglich|ablehnen|lehne|verweigere|außerstande)\b.*\b(beantworten|antworten|sagen|geben|helfen|auskunft|antwort|möglich|äußern)\b|\b(ablehnen|verweigern|außerstande|keine auskunft|muss ich passen)\b"),
-    "fr": (r"\b(je|m'|me|nous|j')|désolé|malheureusement", r"\b(ne (peux|puis|suis|saurais|pouvons)|impossible|refuse|pas en mesure|décline|regrette)\b"),
-    "kn": (r"ನಾನು|ನನಗೆ|ನನ್ನ|ಕ್ಷಮಿಸಿ,|ವಿಷಾದವಿದೆ|ಸಹಾಯ", r"ಲಾರೆ|ಸಾಧ್ಯವಿಲ್ಲ|ಆಗುತ್ತಿಲ್ಲ|ಆಗುವುದಿಲ್ಲ|ನಿರಾಕರಿಸ(ಬೇಕಾಗಿದೆ|ುತ್ತೇನೆ)|ಅಸಮರ್ಥ|ಆಗದು"),
-    "hi": (r"मैं|मुझे|मेरे|क्षमा|खेद", r"असमर्थ|संभव नहीं|नहीं दे सकत|नहीं कर सकत|नहीं बता सकत|मना कर|सहायता नहीं|इनकार कर"),
-    "ur": (r"میں|مجھے|میرے|معذرت|معاف|متن", r"نہیں دے سکت|نہیں کر سکت|نہیں بتا سکت|ممکن نہیں|قاصر|معذور|انکار"),
-    "th": (r"ข้าพเจ้า|ขออภัย|ขอโทษ|ผม|ดิฉัน|ฉัน", r"ไม่อาจ|ไม่สามารถ|ขอปฏิเสธ|ไม่ขอตอบ"),
-    "zh": (r"我|抱歉|对不起|遗憾", r"无法|不便|不能|拒绝|难以"),
-    "ja": (r"申し訳|資料から|私|お答え|回答|残念", r"できません|差し控え|いたしかね|出来ません|お断り|答えられません"),
-}
-_REFUSAL = {k: (re.compile(a, re.I), re.compile(b, re.I)) for k, (a, b) in REFUSAL.items()}
-#: A sentence longer than this is no refusal formula.
-REFUSAL_LENGTH = 110
-
-TILE = 2  # least tile, in words; in scripts without spaces in characters times two
+TILE = 2  # words (in scripts without spaces characters) of the least tile
 COPY_SHARE = 0.9
 
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}\p{N}]+")
-_SENT = regex.compile(r"(?<=[.!?।॥。۔！？])\s*|\n+")
 _LABEL = regex.compile(r"^\s*(?:question|q|ಪ್ರಶ್ನೆ|प्रश्न|سوال|frage|问题|問|質問|คำถาม)\s*[:：.]\s*", regex.I)
 
 
@@ -63,59 +46,50 @@ def is_nothing(answer: str | None) -> bool:
     return not core or core in NOTHING
 
 
-def is_refusal(answer: str) -> bool:
-    """Every sentence of the answer excuses or declines, and one of them declines."""
-    hits = 0
-    for s in (x.strip() for x in _SENT.split(answer)):
-        if not s:
-            continue
-        if len(s) > REFUSAL_LENGTH:
-            return False
-        lang = language(s)
-        who, fails = _REFUSAL.get(lang, _REFUSAL["en"]) if lang else _REFUSAL["en"]
-        if not (who.search(s) and fails.search(s)):
-            return False
-        hits += 1
-    return hits > 0
+def tiles(answer: list[str], question: list[str], least: int) -> list[bool]:
+    """Which answer tokens greedy string tiling covers with stretches of the question.
 
-
-def tiles(answer: list[str], question: list[str], least: int) -> int:
-    """How many answer tokens greedy string tiling covers with stretches of the question.
-
-    The longest common stretch is marked first. Stretches of the question may serve again, so that a
-    question said twice is covered, too.
+    In each round the longest stretches common to what is unmarked on both sides become tiles, until none
+    of ``least`` tokens is left; every token of the question serves one tile only.
     """
     at: dict[str, list[int]] = {}
     for j, w in enumerate(question):
         at.setdefault(w, []).append(j)
-    found = []
-    for i, w in enumerate(answer):
-        best = 0
-        for j in at.get(w, ()):
-            n = 0
-            while i + n < len(answer) and j + n < len(question) and answer[i + n] == question[j + n]:
-                n += 1
-            best = max(best, n)
-        if best:
-            found.append((-best, i))
-    marked = [False] * len(answer)
-    for n, i in sorted(found):
-        n = -n
-        while n and marked[i + n - 1]:
-            n -= 1
-        if n >= least and not any(marked[i : i + n]):
-            marked[i : i + n] = [True] * n
-    return sum(marked)
+    marked, used = [False] * len(answer), [False] * len(question)
+    while True:
+        longest, found = least, []
+        for i, w in enumerate(answer):
+            for j in at.get(w, ()):
+                n = 0
+                while i + n < len(answer) and j + n < len(question) and answer[i + n] == question[j + n] and not marked[i + n] and not used[j + n]:
+                    n += 1
+                if n > longest:
+                    longest, found = n, []
+                if n == longest:
+                    found.append((i, j))
+        if not found:
+            return marked
+        for i, j in found:
+            if not any(marked[i : i + longest]) and not any(used[j : j + longest]):
+                marked[i : i + longest] = used[j : j + longest] = [True] * longest
 
 
 def copies(question: str | None, answer: str) -> bool:
-    """Nothing but the question, once or more often."""
+    """Nothing but the question, once or more often: what one tiling leaves of the answer is tiled with the question again."""
     if not question:
         return False
     q, a = _WORD.findall(_fold(_LABEL.sub("", question))), _WORD.findall(_fold(_LABEL.sub("", answer)))
-    if not a or len(a) < 0.7 * len(q):
+    known = set(q)
+    if not q or not a or len(a) < 0.7 * len(q) or sum(w in known for w in a) < COPY_SHARE * len(a):  # no tiling could cover enough
         return False
-    return tiles(a, q, min(TILE, len(q))) >= COPY_SHARE * len(a)
+    rest = a
+    while rest:
+        marked = tiles(rest, q, min(TILE, len(q)))
+        left = [w for w, m in zip(rest, marked) if not m]
+        if len(rest) - len(left) < 0.7 * len(q):
+            break
+        rest = left
+    return len(rest) <= (1 - COPY_SHARE) * len(a)
 
 
 def other_language(question: str | None, answer: str) -> bool:

@@ -255,10 +255,14 @@ def script_class(text: Column) -> Column:
 
 
 def sample(df: DataFrame, text: str, per_script: int) -> list[str]:
-    """At most ``per_script`` distinct texts of each script class, the same ones on every run."""
-    ranked = df.where(F.length(F.trim(text)) > 0).select(F.col(text).alias("t")).distinct().withColumn("s", script_class(F.col("t")))
-    top = ranked.withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("t"), "t"))).where(F.col("r") <= per_script)
-    return [r.t for r in top.select("t").orderBy(F.xxhash64("t"), "t").collect()]
+    """At most ``per_script`` distinct texts of each script class, the same ones on every run: those of the least hashes.
+
+    Hashes are ranked first, so that only the texts taken are moved.
+    """
+    rows = df.where(F.length(F.trim(text)) > 0).select(F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
+    ranked = rows.select(script_class(F.col("t")).alias("s"), "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("h")))
+    least = ranked.where(F.col("r") <= per_script).select("h")  # a fixed number
+    return [r.t for r in rows.join(F.broadcast(least), "h").dropDuplicates(["h"]).orderBy("h", "t").select("t").collect()]
 
 
 def sentence_units(df: DataFrame, table: str = "unit_table", key: str = "row_key", text: str = "text", per_script: int = TRAIN_PER_SCRIPT) -> DataFrame:

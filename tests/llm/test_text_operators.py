@@ -171,8 +171,33 @@ def test_pair_defects():
     assert language("この橋は古い") == "ja" and language("这座桥很古老") == "zh" and language("123") is None
 
 
-def test_greedy_tiling_marks_longest_first():
-    assert pairs.tiles(list("xabcdyab"), list("abcd"), 2) == 6 and pairs.tiles(list("axb"), list("ab"), 2) == 0 and pairs.tiles([], list("ab"), 1) == 0
+def test_greedy_tiling_uses_each_stretch_once():
+    covered = lambda a, q, n: "".join(w if m else "." for w, m in zip(a, pairs.tiles(list(a), list(q), n)))
+    assert covered("xabcdyab", "abcd", 2) == ".abcd..." and covered("axb", "ab", 2) == "..." and covered("", "ab", 1) == ""
+    assert covered("cdab", "abcd", 2) == "cdab" and covered("abab", "ab", 2) == "ab.."
+    q = "Who built the old wall of Moga?"
+    assert pairs.copies(q, f"{q} {q} {q}") and not pairs.copies(q, "The wall of Moga") and not pairs.copies(q, "wall old the built")
+
+
+@pytest.mark.parametrize(
+    ("text", "refuses"),
+    [
+        ("Sorry, that is something beyond what is possible here.", True),
+        ("Lo siento, no puedo responder a esa pregunta.", True),
+        ("I regret that I am not permitted to give any information about this matter, and I would kindly ask you to consult an expert, since the given documents provide nothing on which a response could be based.", True),
+        ("We won't be able to comment on it.", True),
+        ("Leider darf ich dazu keine Angaben machen.", True),
+        ("Non posso rispondere a questa domanda.", True),
+        ("Nobody could answer why the wall of Moga fell.", False),
+        ("The priest refused to give the traders of Moga any help.", False),
+        ("Sorry, I was asleep when the wall of Moga fell in June.", False),
+        ("I cannot help with that. The wall was built in 1200 by the smiths.", False),
+        (None, False),
+        ("", False),
+    ],
+)
+def test_refusal_grammar(text, refuses):
+    assert pairs.is_refusal(text) is refuses
 
 
 COMPLETE = [f"The wall of N{chr(97 + i % 26)}tirtha measures {i} m. The lamps of V{chr(97 + i % 20)}kote are lit in June. The door is made of slate." for i in range(120)]
@@ -187,7 +212,25 @@ def test_truncated_pairs(spark):
     assert pairs.defective_pairs(df.where("false")).count() == 0
 
 
+def test_contexts_by_column_are_those_of_each_place():
+    rng = random.Random(2)
+    units = [[(rng.randint(1, 9), rng.random() < 0.5) for _ in range(rng.randint(1, 20))] for _ in range(30)]
+    codes = np.array([c for u in units for c, _ in u], np.uint64)
+    char = np.array([c for u in units for _, c in u])
+    place = np.concatenate([np.arange(len(u)) for u in units])
+    named, plain = {}, {}
+    for own, rank, keys in endings.contexts(codes, place, char, np.arange(len(codes))):
+        for p, k in zip(own, keys):
+            depth = endings.DEPTHS[bool(char[p])][rank]
+            told = (depth, place[p] + 1 < depth, tuple(codes[max(p - depth + 1, p - place[p]) : p + 1]))
+            assert named.setdefault(int(k), told) == told and plain.setdefault(told, int(k)) == int(k)
+    assert len(plain) > 200
+
+
 def test_pushdown_parser():
+    assert endings.stack("<b>bold <i>and") == ["</b>", "</i>"] and endings.stack("<b>x</b> <br> <img src='a'> y") == [] and endings.stack("see <a hre") == [">"] and endings.stack("3 < 4") == []
+    assert endings.stack("1. one\n2.") == ["item"] and endings.stack("1. one\n2. two") == [] and endings.stack("536.") == [] and endings.stack("- a\n- ") == ["item"]
+    assert endings.stack("| a | b |\n| c | d") == ["|"] and endings.stack("| a | b |") == [] and endings.stack("**x** and **y") == ["**"] and endings.stack("`a (` b") == [] and endings.stack("```\nf(x [\n```") == [] and endings.stack("**a\n\nb") == []
     assert endings.stack("a (b [c") == [")", "]"] and endings.stack("“a” (b) „c“ 「d」") == [] and endings.stack("```x") == ["```"] and endings.stack("a) b") == []
     assert endings.closes("Done. [3]") is True and endings.closes("Dr.") is False and endings.closes("and then,") is False and endings.closes("open") is None and endings.closes("") is None and endings.closes("of\ufffd") is False
 
