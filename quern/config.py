@@ -10,6 +10,7 @@ from pathlib import Path
 from typing import Any
 
 
+# The names and defaults of all fields, which saved configurations and result logs name.
 @dataclass(frozen=True)
 class IngestConfig:
     ocr_char_threshold: int = 50
@@ -65,6 +66,7 @@ class MetricConfig:
     bertscore_model: str = "xlm-roberta-base"
     bertscore_layer: int = 9
     bertscore_idf: bool = False
+    bertscore_batch_size: int = 16
     meteor_alpha: float = 0.9
     meteor_beta: float = 3.0
     meteor_gamma: float = 0.5

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The verdicts a judgement may have.
@@ -10,6 +10,12 @@ VERDICTS = ("supported", "contradicted", "not_in_context", "unverifiable")
 NAN = float("nan")
 
 
+def known_verdict(verdict: Column) -> Column:
+    """One of VERDICTS, however it is written; null for anything else."""
+    v = F.regexp_replace(F.regexp_replace(F.lower(verdict), "[^a-z]+", "_"), "^_+|_+$", "")
+    return F.when(v.isin(*VERDICTS), v)
+
+
 def abstention(records: DataFrame, status: str = "status", answerable: str = "answerable", by: tuple[str, ...] = ()) -> DataFrame:
     """Counts of the four outcomes and others, abstention_recall and false_abstention_rate; a missing ``answerable`` means true.
 

@@ -76,11 +76,36 @@ def error_rates(matched: DataFrame) -> DataFrame:
     return matched.withColumns({"cer": ov.character_error_rate(hyp, ref), "wer": ov.word_error_rate(hyp, ref), "ref_chars": F.size(tx.graphemes(tx.normalise(ref))), "hyp_chars": F.size(tx.graphemes(tx.normalise(hyp)))})
 
 
+def _in_blocks(rates: DataFrame) -> DataFrame:
+    """Each page in the block ``all`` and in ``ocr`` or ``native``."""
+    own = F.when(F.coalesce(F.col("used_ocr"), F.lit(False)), "ocr").otherwise("native")
+    return rates.withColumn("block", F.explode(F.array(own, F.lit("all"))))
+
+
+def _every_block(blocks: DataFrame, n: str = "n") -> DataFrame:
+    names = blocks.sparkSession.createDataFrame([("ocr",), ("native",), ("all",)], "block string").coalesce(1)
+    return names.join(blocks, "block", "left").na.fill(0, [n])
+
+
 def error_blocks(rates: DataFrame) -> DataFrame:
-    """Rows (block, n, cer, wer) for recognised, native and all pages; a block without pages has n 0."""
-    value = lambda c, cond: F.avg(F.when(cond & ~F.isnan(c), F.col(c)))
-    def block(name: str, cond: Column) -> DataFrame:
-        return rates.agg(F.lit(name).alias("block"), F.count_if(cond).alias("n"), value("cer", cond).alias("cer"), value("wer", cond).alias("wer"))
+    """Rows (block, n, cer, wer) for recognised, native and all pages, in one pass; a block without pages has n 0."""
+    value = lambda c: F.avg(F.when(~F.isnan(c), F.col(c))).alias(c)
+    return _every_block(_in_blocks(rates).groupBy("block").agg(F.count(F.lit(1)).alias("n"), value("cer"), value("wer")))
 
-    used = F.coalesce(F.col("used_ocr"), F.lit(False))
-    return block("ocr", used).unionByName(block("native", ~used)).unionByName(block("all", F.lit(True)))
+
+def evaluate(transcriptions: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
+    """The evaluation of recognised text: ``summary`` of the pages, ``per_page`` rates, ``unmatched`` transcriptions and ``blocks``.
+
+    blocks: block, n, and mean, std, ci_low, ci_high of cer and wer over the pages, which are as many as were transcribed by hand.
+    """
+    from quern.operators import stats
+    from quern.session import durable
+
+    matched, missing = match_transcriptions(transcriptions, pages)
+    rates = durable(error_rates(matched).select("source_file", "page", "used_ocr", "cer", "wer", "ref_chars", "hyp_chars"))
+    rows = _in_blocks(rates)
+    out = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    for c in ("cer", "wer"):
+        told = stats.describe(rows.where(~F.isnan(c)).select("block", c, F.concat_ws("#", "source_file", F.lpad(F.col("page").cast("string"), 9, "0")).alias("_at")), ["block"], c, "_at")
+        out = out.join(told.select("block", *(F.col(x).alias(f"{c}_{x}") for x in ("mean", "std", "ci_low", "ci_high"))), "block", "left")
+    return {"summary": ingest_summary(pages), "per_page": rates, "unmatched": missing.select("source_file", "page"), "blocks": _every_block(out)}

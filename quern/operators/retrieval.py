@@ -13,24 +13,29 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quern.config import RetrievalConfig
 from quern.functions import vectors as vx
 
-#: Queries that are held at once: so many vectors are broadcast to the scan.
+#: Queries that are held at once: so many vectors are broadcast to a scan of the corpus.
 QUERY_BLOCK = 20_000
+#: Queries and rows of one matrix product, so that no more than so many scores are held.
+TILE_QUERIES, TILE_ROWS = 1_000, 4_000
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", skip_same: bool = False) -> DataFrame:
     """Rows (query_id, chunk_id, score, rank): the k nearest chunks of each query, rank from 0, ties by chunk id.
 
-    An expression plan: the queries, a set of checked size, meet all rows of the corpus.
+    An expression plan: the queries, broadcast after a check of their number, meet all rows of the corpus. More
+    queries than QUERY_BLOCK are answered by :func:`top_k_blocked`, with the same ranks.
     """
     q = queries.select(F.col(query_id).alias("query_id"), vx.l2_normalise(F.col(vector)).alias("_q"))
+    if q.count() > QUERY_BLOCK:
+        return top_k_blocked(queries, corpus, k, query_id, chunk_id, vector, skip_same)
     c = corpus.select(F.col(chunk_id).alias("chunk_id"), vx.l2_normalise(F.col(vector)).alias("_c"))
-    small = q.count() <= QUERY_BLOCK
-    pairs = c.crossJoin(F.broadcast(q) if small else q)
+    pairs = c.crossJoin(F.broadcast(q))
     if skip_same:
         pairs = pairs.where(F.col("query_id") != F.col("chunk_id"))
     scored = pairs.select("query_id", "chunk_id", vx.dot(F.col("_q"), F.col("_c")).alias("score"))
@@ -38,46 +43,50 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_
     return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
+def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of each query, ties by chunk."""
+    found = found.sort_values(["q", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
+    return found[found.groupby("q").cumcount() < k]
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    v = np.stack(vectors.to_numpy()).astype(np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
+
+
 def top_k_blocked(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", skip_same: bool = False) -> DataFrame:
-    """The same by matrix products: each task keeps its k best per query, and these are merged.
+    """The same by matrix products in tiles: each task keeps its k best per query, and these are merged. Ids are of any type.
 
-    Queries beyond QUERY_BLOCK are taken block by block, one scan each. Ids are bigint.
+    Queries beyond QUERY_BLOCK are taken block by block, one scan each. Rows without a vector are passed over.
     """
-    schema = "query_id bigint, chunk_id bigint, score double"
-    local = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v")).orderBy("query_id")
-    n = local.count()
-    parts = []
-    numbered = local.withColumn("block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_BLOCK)) if n > QUERY_BLOCK else local.withColumn("block", F.lit(0))
-    for block in range(max(1, -(-n // QUERY_BLOCK))):
-        rows = numbered.where(F.col("block") == block).select("query_id", "v").collect()
-        ids = np.array([r.query_id for r in rows], np.int64)
-        matrix = np.array([r.v for r in rows], np.float64).reshape(len(rows), -1)
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-10)
-        shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
+    rows = corpus.where(F.col(vector).isNotNull()).select(F.col(chunk_id).alias("chunk_id"), F.col(vector).alias("v"))
+    kind = {"query_id": asked.schema["query_id"].dataType, "chunk_id": rows.schema["chunk_id"].dataType, "score": T.DoubleType()}
+    schema = T.StructType([T.StructField(name, t) for name, t in kind.items()])
+    blocks, merged = max(1, -(-asked.count() // QUERY_BLOCK)), None
+    for block in range(blocks):
+        held = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").toPandas()  # about QUERY_BLOCK rows
+        shared = queries.sparkSession.sparkContext.broadcast((held["query_id"].to_numpy(), _unit(held["v"]) if len(held) else np.zeros((0, 1))))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qid, q = shared.value
-            best_s, best_c = np.full((len(qid), 0), 0.0), np.zeros((len(qid), 0), np.int64)
+            ids, q = shared.value
+            best = pd.DataFrame({"q": np.zeros(0, np.int64), "chunk_id": np.zeros(0, object), "score": np.zeros(0)})
             for b in batches:
-                if not len(b) or not len(qid):
-                    continue
-                v = np.stack(b.v.to_numpy()).astype(np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
-                c = b.c.to_numpy(np.int64)
-                s = q @ v.T
-                if skip_same:
-                    s[qid[:, None] == c[None, :]] = -np.inf
-                best_s, best_c = np.hstack([best_s, s]), np.hstack([best_c, np.broadcast_to(c, s.shape)])
-                if best_s.shape[1] > k:
-                    order = np.lexsort((best_c, -best_s), axis=1)[:, :k]
-                    best_s, best_c = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_c, order, 1)
-            keep = np.isfinite(best_s)
-            yield pd.DataFrame({"query_id": np.repeat(qid, keep.sum(axis=1)), "chunk_id": best_c[keep], "score": best_s[keep]})
-
-        parts.append(corpus.select(F.col(chunk_id).alias("c"), F.col(vector).alias("v")).mapInPandas(scan, schema))
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
+                for at in range(0, len(b) if len(ids) else 0, TILE_ROWS):
+                    part = b.iloc[at : at + TILE_ROWS]
+                    v, c, news = _unit(part["v"]), part["chunk_id"].to_numpy(), []
+                    for lo in range(0, len(ids), TILE_QUERIES):
+                        s = q[lo : lo + TILE_QUERIES] @ v.T
+                        if skip_same:
+                            s[ids[lo : lo + TILE_QUERIES, None] == c[None, :]] = -np.inf
+                        floor = np.partition(s, max(s.shape[1] - k, 0), axis=1)[:, max(s.shape[1] - k, 0)]  # all ties with the k-th stay
+                        i, j = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
+                        news.append(pd.DataFrame({"q": i + lo, "chunk_id": c[j], "score": s[i, j]}))
+                    best = _best(pd.concat([best, *news] if len(best) else news, ignore_index=True), k)
+            yield pd.DataFrame({"query_id": ids[best["q"].to_numpy(np.int64)] if len(best) else ids[:0], "chunk_id": best["chunk_id"].to_numpy(), "score": best["score"].to_numpy()})
+
+        one = rows.mapInPandas(scan, schema)
+        merged = one if merged is None else merged.unionByName(one)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return merged.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 RESAMPLES, LEVEL, SEED = 10_000, 0.95, 20240101
@@ -36,17 +37,27 @@ def interval(values: Sequence[float], n_resamples: int = RESAMPLES, level: float
     return float(statistic(v)), float(low), float(high), float(v.std(ddof=1)), len(v)
 
 
-def bootstrap(df: DataFrame, by: list[str], value: str, order: str, n_resamples: int = RESAMPLES, level: float = LEVEL, seed: int = SEED) -> DataFrame:
-    """Per group (mean, ci_low, ci_high, std, n). A group's values are question means: bounded by the benchmark."""
+def bootstrap(df: DataFrame, by: list[str], value: str, order: str, n_resamples: int = RESAMPLES, level: float = LEVEL, seed: int = SEED, statistic=np.mean) -> DataFrame:
+    """Per group (mean, ci_low, ci_high, std, n); ``statistic`` (of values along an axis) stands in for the mean.
+
+    A group's values are question means: bounded by the benchmark.
+    """
     schema = df.select(*by).schema.simpleString()[7:-1].replace(":", " ") + ", mean double, ci_low double, ci_high double, std double, n bigint"
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        mean, low, high, std, n = interval(rows.sort_values(order)[value].tolist(), n_resamples, level, seed)
+        mean, low, high, std, n = interval(rows.sort_values(order)[value].tolist(), n_resamples, level, seed, statistic)
         return pd.DataFrame([(*key, mean, low, high, std, n)])
 
     return df.select(*by, value, order).groupBy(*by).applyInPandas(run, schema)
 
 
+def describe(df: DataFrame, by: list[str], value: str, order: str, **options) -> DataFrame:
+    """Per group mean, std, ci_low and ci_high with four decimals, as reports name them, and n."""
+    out = bootstrap(df, by, value, order, **options)
+    four = F.udf(lambda x: None if x is None else round(x, 4), T.DoubleType())  # a row per group; Spark's round is another one
+    return out.select(*by, *(four(c).alias(c) for c in ("mean", "std", "ci_low", "ci_high")), "n")
+
+
 def effect_label(d: Column) -> Column:
     a = F.abs(d)
     return F.when(d.isNull() | F.isnan(d), "undefined").when(a < 0.147, "negligible").when(a < 0.33, "small").when(a < 0.474, "medium").otherwise("large")
@@ -177,22 +188,22 @@ def holm(df: DataFrame, p: str = "wilcoxon_p", alpha: float = 0.05, by: Sequence
 
 
 def rag_pairs(log: DataFrame, metric: str) -> DataFrame:
-    """Rows (model, question_id, a, b): question means with and without retrieval, where both are there."""
+    """Rows (model, question_id, a, b): question means of answerable questions with and without retrieval, where both are there."""
     from quern.operators.log import question_means
 
-    q = question_means(log, metric, ["model", "use_retrieval"])
+    q = question_means(log, metric, ["model", "use_retrieval"], answerable=True)
     per = q.groupBy("model", "question_id").agg(F.max(F.when(F.col("use_retrieval"), F.col("value"))).alias("a"), F.max(F.when(~F.col("use_retrieval"), F.col("value"))).alias("b"))
     return per.where("a IS NOT NULL AND b IS NOT NULL")
 
 
 def model_pairs(log: DataFrame, metric: str, use_retrieval: bool = True) -> DataFrame:
-    """Rows (name_a, name_b, question_id, a, b): all pairs of models over the questions that all of them have.
+    """Rows (name_a, name_b, question_id, a, b): all pairs of models over the answerable questions that all of them have.
 
     The pairs are of models, of which there are few; a question meets itself only.
     """
     from quern.operators.log import question_means
 
-    q = question_means(log, metric, ["model"], use_retrieval=use_retrieval)
+    q = question_means(log, metric, ["model"], use_retrieval=use_retrieval, answerable=True)
     n = q.select(F.countDistinct("model").alias("models"))
     shared = q.groupBy("question_id").agg(F.countDistinct("model").alias("m")).join(F.broadcast(n), F.col("m") == F.col("models")).select("question_id")
     q = q.join(shared, "question_id", "left_semi")
@@ -216,6 +227,39 @@ def required_sample_size(expected: float = 0.12, half_width: float = 0.03, confi
     return max(1, math.ceil(n))
 
 
-def paired_sample_size(effect: float = 0.05, sd: float = 0.12, power: float = 0.8, alpha: float = 0.05) -> int:
+def paired_sample_size(effect: float = 0.05, sd: float = 0.12, power: float = 0.8, alpha: float = 0.05, comparisons: int = 1) -> int:
+    """Pairs needed to see an effect; alpha is shared out among the comparisons."""
     z = NormalDist()
-    return math.ceil(((z.inv_cdf(1 - alpha / 2) + z.inv_cdf(power)) * sd / effect) ** 2)
+    return math.ceil(((z.inv_cdf(1 - alpha / max(comparisons, 1) / 2) + z.inv_cdf(power)) * sd / effect) ** 2)
+
+
+def paired_sd(log: DataFrame, metric: str) -> DataFrame:
+    """One row (name_a, name_b, n, sd): the deviation of the paired differences of the first two models of a log, for a power analysis.
+
+    No row with fewer than two models or three shared questions.
+    """
+    from quern.operators.log import distinct_sorted, question_means
+
+    first = [r.model for r in distinct_sorted(log, "model").limit(2).collect()]
+    if len(first) < 2:
+        first = ["", ""]
+    q = question_means(log, metric, ["model"], use_retrieval=True, answerable=True)
+    per = q.groupBy("question_id").agg(*(F.max(F.when(F.col("model") == m, F.col("value"))).alias(c) for m, c in zip(first, "ab"))).where("a IS NOT NULL AND b IS NOT NULL")
+    out = per.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(F.col("a") - F.col("b")).alias("sd")).where("n >= 3")
+    return out.select(F.lit(first[0]).alias("name_a"), F.lit(first[1]).alias("name_b"), "n", "sd")
+
+
+def signed_ranks(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b") -> DataFrame:
+    """Per group n (differences that aren't 0), w_plus, p and t: the paired statistics without intervals.
+
+    A group holds the question means of one comparison: bounded by the benchmark.
+    """
+    schema = pairs.select(*by).schema.simpleString()[7:-1].replace(":", " ") + ", n bigint, w_plus double, wilcoxon_p double, t double"
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        d = (rows[a] - rows[b]).dropna().to_numpy(float)
+        plus, p = wilcoxon(d)
+        sd = d.std(ddof=1) if len(d) > 1 else math.nan
+        return pd.DataFrame([(*key, int((d != 0).sum()), plus, p, float(d.mean() / sd * math.sqrt(len(d))) if sd else math.nan)])
+
+    return pairs.select(*by, a, b).groupBy(*by).applyInPandas(run, schema)

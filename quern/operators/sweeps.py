@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import itertools
 from collections.abc import Callable, Sequence
 
@@ -14,6 +15,8 @@ from quern.config import ChunkConfig
 from quern.functions import ranking as rk
 from quern.functions.text import let
 
+# The encoders that are compared by default.
+ENCODERS = ("sentence-transformers/paraphrase-multilingual-mpnet-base-v2", "sentence-transformers/LaBSE", "intfloat/multilingual-e5-base", "sentence-transformers/distiluse-base-multilingual-cased-v2")
 THRESHOLDS = tuple(round(0.05 * i, 2) for i in range(20))
 
 
@@ -49,7 +52,10 @@ def calibrate_threshold(tops: DataFrame, thresholds: Sequence[float] = THRESHOLD
     """Per threshold tp, fp, fn, tn, precision, recall, f1 and best (the highest f1, ties to the lowest threshold).
 
     tops: query_id, top_score, answerable of a split kept for calibration. Answered means top_score >= threshold.
+    ValueError if every question is answerable: nothing then tells a threshold from another.
     """
+    if tops.where("NOT answerable").isEmpty():
+        raise ValueError("calibration needs at least one unanswerable question")
     rows = tops.crossJoin(F.broadcast(grid(tops.sparkSession, threshold=[float(t) for t in thresholds])))
     answered = F.coalesce(F.col("top_score") >= F.col("threshold"), F.lit(False)) & ~F.isnan("top_score")
     can = F.col("answerable")
@@ -59,26 +65,64 @@ def calibrate_threshold(tops: DataFrame, thresholds: Sequence[float] = THRESHOLD
     return c.withColumn("best", F.row_number().over(Window.orderBy(F.desc("f1"), "threshold")) == 1)  # a row per threshold
 
 
-def sweep_chunking(evaluate: Callable[[ChunkConfig], DataFrame], sizes: Sequence[int] = (250, 500, 750, 1000), overlaps: Sequence[int] = (0, 50, 100, 200)) -> DataFrame:
-    """The union of ``evaluate`` (a DataFrame of metrics) over all settings whose overlap is below the size."""
-    out = None
-    for size in sizes:
-        for overlap in overlaps:
-            if overlap < size:
-                one = evaluate(ChunkConfig(chunk_size=size, chunk_overlap=overlap)).withColumns({"chunk_size": F.lit(size), "chunk_overlap": F.lit(overlap)})
-                out = one if out is None else out.unionByName(one)
+def _judged(asked: DataFrame, gold: DataFrame, index: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """One row of means over questions with gold: ten candidates of each question against its gold ids.
+
+    gold: query_id, gold, by_page. wanted: name of the mean and the metric it is of.
+    """
+    from quern.operators import retrieval
+
+    known = index.select(F.col("chunk_id"), "source_file", "page")
+    top = retrieval.top_k_blocked(asked, index, 10, "query_id", "chunk_id").join(known, "chunk_id")
+    per = top.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "source_file", "page"))).alias("c"))  # ten a question
+    rows = gold.join(per, "query_id", "left")
+    ids = F.when(F.col("by_page"), rk.retrieved_ids(F.col("c"), True)).otherwise(rk.retrieved_ids(F.col("c"), False))
+    scored = rk.score_retrieval(rows.withColumn("retrieved", F.coalesce(ids, F.array().cast("array<string>"))), "retrieved", "gold", (5, 10))
+    return scored.agg(*(F.avg(m).alias(name) for name, m in wanted.items()))
+
+
+def gold_of(questions: DataFrame) -> DataFrame:
+    """Rows (query_id, question, gold, by_page) of the answerable questions with annotated evidence; ValueError without any."""
+    by_page = (F.coalesce(F.size("gold_pages"), F.lit(0)) > 0) & F.col("source_file").isNotNull()
+    gold = rk.gold_ids(F.col("source_file"), F.col("gold_pages"), F.col("gold_chunk_ids"))
+    out = questions.where("answerable").select(F.col("question_id").alias("query_id"), "question", gold.alias("gold"), by_page.alias("by_page")).where(F.size("gold") > 0)
+    if out.isEmpty():
+        raise ValueError("no question has annotated evidence")
+    return out
+
+
+def sweep_chunking(pages: DataFrame, questions: DataFrame, encode: Callable[[DataFrame, str], DataFrame], chunk: ChunkConfig | None = None, sizes: Sequence[int] = (250, 500, 750, 1000), overlaps: Sequence[int] = (0, 50, 100, 200)) -> DataFrame:
+    """Rows (chunk_size, chunk_overlap, n_chunks, recall@5, precision@5, ndcg@5, hit@5): the index is built anew for each setting.
+
+    Overlaps that aren't below the size are passed over. A row a setting, of which there are few.
+    """
+    from quern.operators import chunking
+    from quern.session import durable
+
+    gold, out = durable(gold_of(questions)), None
+    asked = durable(encode(gold.select("query_id", "question"), "question"))
+    for size, overlap in itertools.product(sizes, overlaps):
+        if overlap < size:
+            index = durable(encode(chunking.chunk_pages(pages, dataclasses.replace(chunk or ChunkConfig(), chunk_size=size, chunk_overlap=overlap)), "text").select("chunk_id", "source_file", "page", "embedding"))
+            one = _judged(asked, gold, index, {f"{m}@5": f"{m}_at_5" for m in ("recall", "precision", "ndcg", "hit")})
+            one = one.select(F.lit(size).alias("chunk_size"), F.lit(overlap).alias("chunk_overlap"), F.lit(index.count()).alias("n_chunks"), *one.columns)
+            out = one if out is None else out.unionByName(one)
     return out
 
 
-def sweep_encoders(evaluate: Callable[[str], DataFrame], models: Sequence[str]) -> DataFrame:
-    """The union of ``evaluate`` over encoders; an encoder that fails becomes a row with its error."""
-    out = None
-    for name in models:
+def sweep_encoders(chunks: DataFrame, questions: DataFrame, encoders: dict[str, Callable[[DataFrame, str], DataFrame]]) -> DataFrame:
+    """Rows (encoder, dim, recall@5, ndcg@10, mrr@10, note) over encoders by name; one that fails becomes a row with its error."""
+    from quern.session import durable
+
+    spark, gold, out = chunks.sparkSession, durable(gold_of(questions)), None
+    for name, encode in encoders.items():
         try:
-            one = evaluate(name).withColumns({"encoder": F.lit(name), "error": F.lit(None).cast("string")})
+            index = durable(encode(chunks, "text").select("chunk_id", "source_file", "page", "embedding"))
+            asked = durable(encode(gold.select("query_id", "question"), "question"))
+            one = _judged(asked, gold, index, {"recall@5": "recall_at_5", "ndcg@10": "ndcg_at_10", "mrr@10": "mrr_at_10"})
+            one = one.select(F.lit(name).alias("encoder"), F.lit(index.agg(F.max(F.size("embedding"))).first()[0]).cast("int").alias("dim"), *one.columns, F.lit("").alias("note"))
         except Exception as e:  # noqa: BLE001
-            spark = SparkSession.active()
-            one = spark.createDataFrame([(name, str(e))], "encoder string, error string")
+            one = spark.createDataFrame([(name, f"failed: {e}")], "encoder string, note string")
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from quern.operators import annotation
 from quern.plans import prompts
+from quern.queries import LETTERS
 
 # vectors
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-10))"
@@ -75,43 +77,82 @@ def _ratio(t: str) -> str:
 
 _GRAMS = "CASE WHEN length(j) = 0 THEN [] WHEN length(j) < {n} THEN [j] ELSE list_transform(range(1, length(j) - {n} + 2), lambda i: substr(j, i, {n})) END"
 
-# pairs of an answer and its question's first reference
-_PAIRS = f"""q AS (SELECT question_id, min(reference_texts[1]) AS ref FROM questions WHERE len(reference_texts) > 0 GROUP BY question_id),
-p AS (SELECT seq, answer, ref, {_toks('answer')} AS h, {_toks('ref')} AS r FROM answers JOIN q USING (question_id) WHERE status = 'ok' AND answer IS NOT NULL)"""
-_F = "coalesce({a}::DOUBLE / nullif({b}, 0), 0)"
+# pairs of an answer and each reference of its question
+_REFS = "q AS (SELECT question_id, list_sort(list_distinct(list_filter(flatten(list(reference_texts)), lambda x: x IS NOT NULL))) AS refs FROM questions WHERE len(reference_texts) > 0 GROUP BY question_id)"
+_PAIRS = f"""{_REFS}, e AS (SELECT seq, answer, unnest(refs) AS ref, generate_subscripts(refs, 1) - 1 AS ref_no FROM answers JOIN q USING (question_id) WHERE answer IS NOT NULL),
+p AS (SELECT seq, ref_no::INT AS ref_no, answer, ref, {_toks('answer')} AS h, {_toks('ref')} AS r FROM e)"""
+_PRF = "SELECT seq, ref_no, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1 FROM s"
+
+
+def _met(sides: str, keys: str) -> str:
+    """CTEs x, y, m over g(keys, a, b): how many items the lists a and b share as multisets."""
+    return f"""x AS (SELECT {keys}, t, count(*) AS c FROM (SELECT {keys}, unnest(a) AS t FROM {sides}) GROUP BY ALL), y AS (SELECT {keys}, t, count(*) AS c FROM (SELECT {keys}, unnest(b) AS t FROM {sides}) GROUP BY ALL),
+m AS (SELECT {keys}, sum(least(x.c, y.c)) AS m FROM x JOIN y USING ({keys}, t) GROUP BY ALL)"""
 
 
 def _rouge(n: int) -> str:
     grams = lambda c: f"list_transform(range(1, len({c}) - {n} + 2), lambda i: array_to_string({c}[i:i + {n - 1}], chr(31)))"
-    return f"""WITH {_PAIRS}, g AS (SELECT seq, {grams('h')} AS a, {grams('r')} AS b FROM p),
-x AS (SELECT seq, t, count(*) AS c FROM (SELECT seq, unnest(a) AS t FROM g) GROUP BY ALL), y AS (SELECT seq, t, count(*) AS c FROM (SELECT seq, unnest(b) AS t FROM g) GROUP BY ALL),
-m AS (SELECT seq, sum(least(x.c, y.c)) AS m FROM x JOIN y USING (seq, t) GROUP BY seq),
-s AS (SELECT seq, coalesce(m, 0)::DOUBLE / greatest(len(a), 1) AS precision, coalesce(m, 0)::DOUBLE / greatest(len(b), 1) AS recall FROM g LEFT JOIN m USING (seq))
-SELECT seq, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1 FROM s"""
+    return f"""WITH {_PAIRS}, g AS (SELECT seq, ref_no, {grams('h')} AS a, {grams('r')} AS b FROM p), {_met('g', 'seq, ref_no')},
+s AS (SELECT seq, ref_no, coalesce(m, 0)::DOUBLE / greatest(len(a), 1) AS precision, coalesce(m, 0)::DOUBLE / greatest(len(b), 1) AS recall FROM g LEFT JOIN m USING (seq, ref_no)) {_PRF}"""
+
+
+# A row of the table of common subsequences from the row before (o) and what matches in it (m); both are lists as long as the reference.
+_LCS = "list_reduce(list_transform(h, lambda x: list_transform(r, lambda y: (x = y)::INT)), lambda o, m: list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(o[i], CASE WHEN m[i] = 1 THEN coalesce(o[i - 1], 0) + 1 ELSE 0 END)))), list_transform(r, lambda y: 0))"
+_ROUGE_L = f"""WITH {_PAIRS}, d AS (SELECT DISTINCT h, r FROM p), l AS (SELECT h, r, CASE WHEN len(h) = 0 OR len(r) = 0 THEN 0 ELSE list_last({_LCS}) END AS m FROM d),
+s AS (SELECT seq, ref_no, m::DOUBLE / greatest(len(h), 1) AS precision, m::DOUBLE / greatest(len(r), 1) AS recall FROM p JOIN l USING (h, r))"""
+
 
+def _meteor(keys: str = "seq, ref_no") -> str:
+    return f"""WITH {_PAIRS},
+h AS (SELECT {keys}, tok, pos, row_number() OVER (PARTITION BY {keys}, tok ORDER BY pos) AS k FROM (SELECT {keys}, unnest(h) AS tok, generate_subscripts(h, 1) AS pos FROM p)),
+r AS (SELECT {keys}, tok, pos, row_number() OVER (PARTITION BY {keys}, tok ORDER BY pos) AS k FROM (SELECT {keys}, unnest(r) AS tok, generate_subscripts(r, 1) AS pos FROM p)),
+a AS (SELECT {keys}, h.pos AS hp, r.pos AS rp FROM h JOIN r USING ({keys}, tok, k)),
+b AS (SELECT {keys}, CASE WHEN hp - lag(hp) OVER w = 1 AND rp - lag(rp) OVER w = 1 THEN 0 ELSE 1 END AS fresh FROM a WINDOW w AS (PARTITION BY {keys} ORDER BY hp)),
+c AS (SELECT {keys}, count(*) AS matches, sum(fresh)::BIGINT AS chunks FROM b GROUP BY ALL),
+d AS (SELECT p.*, coalesce(matches, 0) AS matches, coalesce(chunks, 0) AS chunks, coalesce(matches, 0)::DOUBLE / greatest(len(h), 1) AS pr, coalesce(matches, 0)::DOUBLE / greatest(len(r), 1) AS re FROM p LEFT JOIN c USING ({keys})),
+me AS (SELECT *, coalesce(pr * re / nullif(0.9 * pr + 0.1 * re, 0), 0) AS f_mean, 0.5 * power(coalesce(chunks::DOUBLE / nullif(matches, 0), 0), 3) AS penalty FROM d)"""
 
-_METEOR = f"""WITH {_PAIRS},
-h AS (SELECT seq, tok, pos, row_number() OVER (PARTITION BY seq, tok ORDER BY pos) AS k FROM (SELECT seq, unnest(h) AS tok, generate_subscripts(h, 1) AS pos FROM p)),
-r AS (SELECT seq, tok, pos, row_number() OVER (PARTITION BY seq, tok ORDER BY pos) AS k FROM (SELECT seq, unnest(r) AS tok, generate_subscripts(r, 1) AS pos FROM p)),
-a AS (SELECT seq, h.pos AS hp, r.pos AS rp FROM h JOIN r USING (seq, tok, k)),
-b AS (SELECT seq, CASE WHEN hp - lag(hp) OVER w = 1 AND rp - lag(rp) OVER w = 1 THEN 0 ELSE 1 END AS fresh FROM a WINDOW w AS (PARTITION BY seq ORDER BY hp)),
-c AS (SELECT seq, count(*) AS matches, sum(fresh)::BIGINT AS chunks FROM b GROUP BY seq),
-d AS (SELECT p.seq, coalesce(matches, 0) AS matches, coalesce(chunks, 0) AS chunks, coalesce(matches, 0)::DOUBLE / greatest(len(h), 1) AS pr, coalesce(matches, 0)::DOUBLE / greatest(len(r), 1) AS re FROM p LEFT JOIN c USING (seq))
-SELECT seq, matches, chunks, round(coalesce(pr * re / nullif(0.9 * pr + 0.1 * re, 0), 0) * (1 - 0.5 * power(coalesce(chunks::DOUBLE / nullif(matches, 0), 0), 3)), 6) AS meteor FROM d"""
+
+_METEOR = _meteor() + " SELECT seq, ref_no, matches, chunks, round(f_mean * (1 - penalty), 6) AS meteor FROM me"
+
+
+def _chrf_ctes() -> str:
+    parts = " UNION ALL ".join(f"SELECT seq, ref_no, {k} AS o, {_GRAMS.format(n=k).replace('j', 'hj')} AS a, {_GRAMS.format(n=k).replace('j', 'rj')} AS b FROM z" for k in range(1, 7))
+    return f"""z AS (SELECT seq, ref_no, array_to_string(h, '') AS hj, array_to_string(r, '') AS rj FROM p), cg AS ({parts}),
+cx AS (SELECT seq, ref_no, o, t, count(*) AS c FROM (SELECT seq, ref_no, o, unnest(a) AS t FROM cg) GROUP BY ALL), cy AS (SELECT seq, ref_no, o, t, count(*) AS c FROM (SELECT seq, ref_no, o, unnest(b) AS t FROM cg) GROUP BY ALL),
+cm AS (SELECT seq, ref_no, o, sum(least(cx.c, cy.c)) AS m FROM cx JOIN cy USING (seq, ref_no, o, t) GROUP BY ALL),
+cs AS (SELECT seq, ref_no, avg(coalesce(m, 0)::DOUBLE / len(a)) FILTER (WHERE len(a) > 0 AND len(b) > 0) AS p, avg(coalesce(m, 0)::DOUBLE / len(b)) FILTER (WHERE len(a) > 0 AND len(b) > 0) AS r FROM cg LEFT JOIN cm USING (seq, ref_no, o) GROUP BY ALL),
+ch AS (SELECT seq, ref_no, coalesce(5 * p * r / nullif(4 * p + r, 0), 0) AS chrf FROM cs)"""
 
 
 def _chrf() -> str:
-    parts = " UNION ALL ".join(f"SELECT seq, {k} AS o, {_GRAMS.format(n=k).replace('j', 'hj')} AS a, {_GRAMS.format(n=k).replace('j', 'rj')} AS b FROM z" for k in range(1, 7))
-    return f"""WITH {_PAIRS}, z AS (SELECT seq, array_to_string(h, '') AS hj, array_to_string(r, '') AS rj FROM p), g AS ({parts}),
-x AS (SELECT seq, o, t, count(*) AS c FROM (SELECT seq, o, unnest(a) AS t FROM g) GROUP BY ALL), y AS (SELECT seq, o, t, count(*) AS c FROM (SELECT seq, o, unnest(b) AS t FROM g) GROUP BY ALL),
-m AS (SELECT seq, o, sum(least(x.c, y.c)) AS m FROM x JOIN y USING (seq, o, t) GROUP BY ALL),
-s AS (SELECT seq, avg(coalesce(m, 0)::DOUBLE / len(a)) FILTER (WHERE len(a) > 0 AND len(b) > 0) AS p, avg(coalesce(m, 0)::DOUBLE / len(b)) FILTER (WHERE len(a) > 0 AND len(b) > 0) AS r FROM g LEFT JOIN m USING (seq, o) GROUP BY seq)
-SELECT seq, round(coalesce(5 * p * r / nullif(4 * p + r, 0), 0), 6) AS chrf FROM s"""
+    return f"WITH {_PAIRS}, {_chrf_ctes()} SELECT seq, ref_no, round(chrf, 6) AS chrf FROM ch"
+
+
+_CONTAIN = f"""WITH {_PAIRS}, z AS (SELECT seq, ref_no, array_to_string(h, '') AS hj, array_to_string(r, '') AS rj FROM p), g AS (SELECT seq, ref_no, {_GRAMS.format(n=4).replace('j', 'hj')} AS a, {_GRAMS.format(n=4).replace('j', 'rj')} AS b FROM z),
+{_met('g', 'seq, ref_no')} SELECT seq, ref_no, round(coalesce(m, 0)::DOUBLE / greatest(len(a), 1), 6) AS containment FROM g LEFT JOIN m USING (seq, ref_no)"""
 
 
-_CONTAIN = f"""WITH {_PAIRS}, z AS (SELECT seq, array_to_string(h, '') AS hj, array_to_string(r, '') AS rj FROM p), g AS (SELECT seq, {_GRAMS.format(n=4).replace('j', 'hj')} AS a, {_GRAMS.format(n=4).replace('j', 'rj')} AS b FROM z),
-x AS (SELECT seq, t, count(*) AS c FROM (SELECT seq, unnest(a) AS t FROM g) GROUP BY ALL), y AS (SELECT seq, t, count(*) AS c FROM (SELECT seq, unnest(b) AS t FROM g) GROUP BY ALL),
-m AS (SELECT seq, sum(least(x.c, y.c)) AS m FROM x JOIN y USING (seq, t) GROUP BY seq) SELECT seq, round(coalesce(m, 0)::DOUBLE / greatest(len(a), 1), 6) AS containment FROM g LEFT JOIN m USING (seq)"""
+def _support() -> str:
+    own = _toks("t").replace("nfc_normalize(t)", "t", 1)
+    return f"""WITH {_PAIRS}, st AS (SELECT seq, ref_no, array_to_string(r, '') AS rj, {_sents('answer')} AS l FROM p), si AS (SELECT seq, ref_no, rj, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM st),
+sj AS (SELECT seq, ref_no, i, rj, array_to_string({own}, '') AS hj FROM si), g AS (SELECT seq, ref_no, i, {_GRAMS.format(n=4).replace('j', 'hj')} AS a, {_GRAMS.format(n=4).replace('j', 'rj')} AS b FROM sj),
+{_met('g', 'seq, ref_no, i')}, v AS (SELECT seq, ref_no, coalesce(m, 0)::DOUBLE / greatest(len(a), 1) AS v FROM g LEFT JOIN m USING (seq, ref_no, i))
+SELECT seq, ref_no, round(coalesce(avg(v), 0), 6) AS support_mean, round(coalesce(min(v), 0), 6) AS support_min, count(v)::DOUBLE AS n_sentences, (count(*) FILTER (WHERE v < 0.5))::DOUBLE AS n_unsupported_sentences FROM p LEFT JOIN v USING (seq, ref_no) GROUP BY seq, ref_no"""
+
+
+def _best() -> str:
+    two = lambda c: f"list_transform(range(1, len({c})), lambda i: array_to_string({c}[i:i + 1], chr(31)))"
+    prf = lambda m, k="": f"coalesce({m}, 0)::DOUBLE / greatest(len(h) - {k or 0}, 1) AS p, coalesce({m}, 0)::DOUBLE / greatest(len(r) - {k or 0}, 1) AS r"
+    f1 = "coalesce(2 * @p * @r / nullif(@p + @r, 0), 0)"
+    met = lambda n, sides: _met(sides, "seq, ref_no").replace("x AS", f"x{n} AS").replace("y AS", f"y{n} AS").replace("m AS", f"m{n} AS", 1).replace("FROM x JOIN y", f"FROM x{n} x JOIN y{n} y").replace("sum(least", "sum(least")
+    l = f"ld AS (SELECT DISTINCT h, r FROM p), ll AS (SELECT h, r, CASE WHEN len(h) = 0 OR len(r) = 0 THEN 0 ELSE list_last({_LCS}) END AS m FROM ld)"
+    return f"""{_meteor()}, {_chrf_ctes()}, {l}, g1 AS (SELECT seq, ref_no, h AS a, r AS b FROM p), {met(1, 'g1')}, g2 AS (SELECT seq, ref_no, {two('h')} AS a, {two('r')} AS b FROM p), {met(2, 'g2')},
+s1 AS (SELECT seq, ref_no, {prf('m')} FROM p LEFT JOIN m1 USING (seq, ref_no)), s2 AS (SELECT seq, ref_no, {prf('m', 1)} FROM p LEFT JOIN m2 USING (seq, ref_no)), sl AS (SELECT seq, ref_no, {prf('m')} FROM p JOIN ll USING (h, r)),
+al AS (SELECT me.seq, f_mean * (1 - penalty) AS meteor, f_mean, penalty, chunks, len(h) AS nh, len(me.r) AS nr, chrf, {f1.replace('@', 's1.')} AS f1, s1.p AS p1, s1.r AS r1, {f1.replace('@', 's2.')} AS f2, {f1.replace('@', 'sl.')} AS fl, sl.p AS pl, sl.r AS rl FROM me JOIN ch USING (seq, ref_no) JOIN s1 USING (seq, ref_no) JOIN s2 USING (seq, ref_no) JOIN sl USING (seq, ref_no))
+SELECT seq, round(max(f1), 6) AS rouge1_f1, round(max(p1), 6) AS rouge1_precision, round(max(r1), 6) AS rouge1_recall, round(max(f2), 6) AS rouge2_f1, round(max(fl), 6) AS "rougeL_f1", round(max(pl), 6) AS "rougeL_precision", round(max(rl), 6) AS "rougeL_recall",
+round(max(meteor), 6) AS meteor, round(max(f_mean), 6) AS meteor_f_mean, round(max(penalty), 6) AS meteor_penalty, max(chunks)::DOUBLE AS meteor_chunks, round(max(chrf), 6) AS chrf, max(nh)::DOUBLE AS hyp_tokens, max(nr)::DOUBLE AS ref_tokens, count(*)::DOUBLE AS n_references FROM al GROUP BY seq"""
+
 
 # pages
 _LAST = "lp AS (SELECT * FROM page_records WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_file, page ORDER BY page_key DESC) = 1)"
@@ -141,6 +182,7 @@ def _means(metrics: tuple[str, ...], by: str, where: str) -> str:
     return f"SELECT {group}count(*) AS n, {outer} FROM (SELECT {group}question_id, {inner} FROM answers WHERE {where} GROUP BY {group}question_id)" + (f" GROUP BY {by}" if by else "")
 
 
+_ANSWER = "coalesce(answer, '')"
 _M3 = ("rouge1_f1", "meteor", "chrf")
 _TOPK = ("top_score", "k_effective")
 
@@ -151,10 +193,16 @@ def _tiers() -> str:
     return f"SELECT difficulty, n, top_score, k_effective, list_position(['easy', 'medium', 'hard', 'unanswerable'], difficulty)::INT AS position FROM ({m}) WHERE difficulty IN ('easy', 'medium', 'hard', 'unanswerable') UNION ALL SELECT 'all (answerable)', n, top_score, k_effective, 5 FROM ({t}) WHERE n > 0"
 
 
-_QM = f"SELECT model, use_retrieval, question_id, avg(chrf) AS value FROM answers WHERE chrf IS NOT NULL AND NOT isnan(chrf) GROUP BY ALL"
+_QM = "SELECT model, use_retrieval, question_id, avg(chrf) AS value FROM answers WHERE answerable AND chrf IS NOT NULL AND NOT isnan(chrf) GROUP BY ALL"
+_EFFECT = "CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END"
+_SHARED = f"m AS (SELECT model, question_id, value FROM ({_QM}) WHERE use_retrieval), sh AS (SELECT question_id FROM m GROUP BY question_id HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM m)), mp AS (SELECT x.model AS name_a, y.model AS name_b, question_id, x.value AS a, y.value AS b FROM m x JOIN m y USING (question_id) JOIN sh USING (question_id) WHERE x.model < y.model)"
 _RAG = f"rp AS (SELECT model, question_id, max(value) FILTER (WHERE use_retrieval) AS a, max(value) FILTER (WHERE NOT use_retrieval) AS b FROM ({_QM}) GROUP BY ALL HAVING a IS NOT NULL AND b IS NOT NULL)"
-_JUDGED = "j AS (SELECT question_id, condition_id, claim_index, lower(verdict) AS verdict FROM claim_judgements WHERE lower(verdict) IN ('supported', 'contradicted', 'not_in_context', 'unverifiable'))"
-_TRANS = "tc AS (SELECT source_file, page, min(text) AS transcription FROM chunks WHERE used_ocr GROUP BY ALL), tr AS (SELECT * FROM tc UNION ALL SELECT source_file || '.missing', page, transcription FROM tc WHERE page = 1)"
+_JUDGED = "j AS (SELECT * FROM (SELECT question_id, condition_id, claim_index, regexp_replace(regexp_replace(lower(verdict), '[^a-z]+', '_', 'g'), '^_+|_+$', '', 'g') AS verdict FROM claim_judgements) WHERE verdict IN ('supported', 'contradicted', 'not_in_context', 'unverifiable'))"
+_TRANS = """tp AS (SELECT source_file, page, list_sort(list(DISTINCT lpad(char_start::VARCHAR, 10, '0') || text) FILTER (WHERE text IS NOT NULL)) AS pieces FROM chunks WHERE used_ocr GROUP BY ALL),
+tc AS (SELECT source_file, page, list_reduce(pieces, lambda t, x: t || repeat(' ', greatest(substr(x, 1, 10)::INT - length(t), 0)) || substr(x, 11 + greatest(length(t) - substr(x, 1, 10)::INT, 0)), '') AS transcription FROM tp),
+tr AS (SELECT * FROM tc UNION ALL SELECT source_file || '.missing', page, transcription FROM tc)"""
+# Edit distance of the lists h and r: a row of its table from the row before (o, whose first entry is the first column's) and what matches (m).
+_EDITS = "list_last(list_reduce(list_transform(h, lambda x: list_transform(r, lambda y: (x <> y)::INT)), lambda o, m: list_transform(range(0, len(m) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda i: (CASE WHEN i = 0 THEN o[1] + 1 ELSE least(o[i + 1] + 1, o[i] + m[i]) END) + j - i))), range(0, len(r) + 1)::INT[]))"
 _NG = "len(coalesce({c}, [])) < 1"
 
 
@@ -168,20 +216,56 @@ def _prompt_sql() -> str:
         while "{" in rest:
             before, _, rest = rest.partition("{")
             name, _, rest = rest.partition("}")
-            out += [_q(before), {"context": "'[1] (' || file || ' p.' || page || ') ' || text", "question": "question"}[name]]
+            out += [_q(before), name]
         return " || ".join([*out, _q(rest)])
 
     return f"""WITH c AS (SELECT chunk_id, min(source_file) AS file, min(page) AS page, min(text) AS text FROM chunks GROUP BY chunk_id),
-q AS (SELECT question_id, min(question) AS question, min(gold_chunk_ids[1]) AS chunk_id FROM questions GROUP BY question_id HAVING min(question) IS NOT NULL),
-pr AS (SELECT question_id, CASE WHEN text IS NULL THEN {filled(prompts.UNGROUNDED)} ELSE {filled(prompts.GROUNDED)} END AS prompt FROM q LEFT JOIN c USING (chunk_id))"""
+q AS (SELECT question_id, min(question) AS question, min(gold_chunk_ids) AS gold FROM questions GROUP BY question_id HAVING min(question) IS NOT NULL),
+it AS (SELECT question_id, i, file, page, text, row_number() OVER (PARTITION BY question_id ORDER BY i) AS k FROM (SELECT question_id, unnest(gold) AS chunk_id, generate_subscripts(gold, 1) AS i FROM q) JOIN c USING (chunk_id)),
+cx AS (SELECT question_id, string_agg('[' || k || '] (' || file || ' p.' || page || ') ' || text, chr(10) || chr(10) ORDER BY i) AS context FROM it GROUP BY question_id),
+pr AS (SELECT question_id, CASE WHEN context IS NULL THEN {filled(prompts.UNGROUNDED)} ELSE {filled(prompts.GROUNDED)} END AS prompt FROM q LEFT JOIN cx USING (question_id))"""
 
 
 _FIRST = f"fa AS (SELECT * FROM answers WHERE length({_strip('answer')}) > 0 QUALIFY row_number() OVER (PARTITION BY question_id, condition_id ORDER BY seq) = 1)"
 
+_LOG = "SELECT seq, question_id, condition_id AS condition, repeat_no AS repeat, status, md5(answer) AS digest, round(CASE WHEN NOT isnan(chrf) THEN chrf END, 6) AS chrf FROM answers"
+
+
+def _reconciled(tier: str) -> str:
+    tiers = ("easy", "medium", "hard", "unanswerable")
+    parts = []
+    for m in _M3:
+        means = ", ".join(f"avg({_value(m)}) FILTER (WHERE t = '{t}') AS {t}" for t in tiers)
+        parts.append(f"SELECT model, '{m}' AS metric, sum(list_sum(l)) / sum(len(l)) AS w, avg(o) AS o FROM (SELECT model, o, list_filter([{', '.join(tiers)}], lambda x: x IS NOT NULL) AS l FROM (SELECT model, question_id, avg({_value(m)}) FILTER (WHERE answerable) AS o, {means} FROM (SELECT *, {tier} AS t FROM answers WHERE use_retrieval) GROUP BY ALL) WHERE o IS NOT NULL) GROUP BY model HAVING sum(len(l)) > 0")
+    return f"SELECT model, metric, round(w, 6) AS weighted, round(o, 6) AS overall FROM ({' UNION ALL '.join(parts)})"
+
+
+def _rendered() -> str:
+    metrics = ", ".join(f"CASE WHEN {m} IS NULL THEN '--' ELSE printf('%.3f', {m}) END" for m in _M3)
+    inner = ", ".join(f"avg({_value(m)}) AS {m}" for m in _M3)
+    rows = f"SELECT row_number() OVER (ORDER BY model) AS i, [model, n::VARCHAR, {metrics}] AS l FROM (SELECT model, count(*) AS n, " + ", ".join(f"avg({m}) AS {m}" for m in _M3) + f" FROM (SELECT model, question_id, {inner} FROM answers WHERE answerable AND use_retrieval GROUP BY ALL) GROUP BY model)"
+    names = ["model", "n", *_M3]
+    md = ["**Quality**", "", "| " + " | ".join(names) + " |", "| " + " | ".join("---" for _ in names) + " |"]
+    tex = ["\\begin{table}[t]", "\\centering", "\\caption{Quality}", "\\label{tab:q}", "\\begin{tabular}{lcccc}", "\\hline", " & ".join(names) + " \\\\", "\\hline"]
+    foot = ["\\hline", "\\end{tabular}", "\\footnotesize{A note}", "\\end{table}"]
+    fixed = lambda kind, lines, at: " UNION ALL ".join(f"SELECT '{kind}' AS kind, {at} + {i} AS line_no, {_q(x)} AS line" for i, x in enumerate(lines))
+    n = "(SELECT count(*) FROM r)"
+    return f"""WITH r AS ({rows}) SELECT kind, line_no::INT AS line_no, line FROM ({fixed('markdown', md, 0)} UNION ALL SELECT 'markdown', 3 + i, '| ' || array_to_string(l, ' | ') || ' |' FROM r UNION ALL {fixed('markdown', ['', '_A note_'], f'4 + {n}')}
+UNION ALL {fixed('latex', tex, 0)} UNION ALL SELECT 'latex', 7 + i, array_to_string(l, ' & ') || ' \\\\' FROM r UNION ALL {fixed('latex', foot, f'8 + {n}')})"""
+
+
+_COUNTS = lambda c: "[" + ", ".join(f"(length({c}) - length(replace({c}, '{x}', '')))::DOUBLE" for x in LETTERS) + "]"
+_ASK = f"""WITH c AS (SELECT chunk_id, min(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY chunk_id), cv AS (SELECT chunk_id, {_UNIT.replace('embedding', 'e')} AS u FROM (SELECT chunk_id, {_COUNTS('text')} AS e FROM c)),
+q AS (SELECT query_id::VARCHAR AS question_id, raw_query, {_normal('raw_query')} AS nq FROM retrieval_results WHERE query_id % 50 = 0 AND raw_query IS NOT NULL),
+g AS (SELECT *, ({_ratio('raw_query')}) >= 0.5 AS ok FROM q), qv AS (SELECT question_id, {_UNIT.replace('embedding', 'e')} AS u FROM (SELECT question_id, {_COUNTS('nq')} AS e FROM g WHERE ok)),
+r AS (SELECT question_id, list_dot_product(qv.u, cv.u) AS score, row_number() OVER (PARTITION BY question_id ORDER BY list_dot_product(qv.u, cv.u) DESC) AS k FROM qv, cv), t AS (SELECT *, max(score) OVER (PARTITION BY question_id) AS top FROM r WHERE k <= 5),
+n AS (SELECT question_id, max(top) AS top, count(*) FILTER (WHERE score >= 0.8 AND score >= 0.85 * top)::INT AS n FROM t GROUP BY question_id)
+SELECT question_id, CASE WHEN NOT ok THEN 'rejected_language' WHEN n = 0 THEN 'abstained' ELSE 'ok' END AS status, round(top, 6) AS top_score, n AS k_effective FROM g LEFT JOIN n USING (question_id)"""
+
 ORACLE = {
     "cosine_topk": _TOP.format(k=5) + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM top",
     "cosine_topk_blocked": _TOP.format(k=5) + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM top",
-    "l2_normalise": f"WITH v AS (SELECT vec_id, {_UNIT.replace('embedding', 'e')} AS u FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings)) SELECT vec_id, round(u[1], 6) AS first, round(u[64], 6) AS last, round(sqrt(list_dot_product(u, u)), 6) AS norm FROM v",
+    "l2_normalise": f"WITH v AS (SELECT vec_id, {_UNIT.replace('embedding', 'e')} AS u FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings)) SELECT vec_id, len(u)::INT AS n, round(list_sum(list_transform(range(1, len(u) + 1), lambda i: u[i] * i)), 6) AS weighed, round(sqrt(list_dot_product(u, u)), 6) AS norm FROM v",
     "adaptive_select": _MARKED + " SELECT query_id, chunk_id, rank, selected FROM s",
     "abstain_status": _MARKED + " SELECT query_id, round(max(score), 6) AS top_score, count(*) FILTER (WHERE selected)::INT AS k_effective, count(*) FILTER (WHERE selected) = 0 AS abstained, CASE WHEN count(*) FILTER (WHERE selected) = 0 THEN 'below_similarity_threshold' END AS abstain_reason FROM s GROUP BY query_id",
     "retrieval_metrics_multi_k": _multi_k(),
@@ -191,7 +275,7 @@ ORACLE = {
     "normalise_text": f"SELECT page_key, md5({_normal('text')}) AS digest FROM page_records",
     "metric_tokens": f"SELECT seq, len(t)::INT AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT seq, {_toks('answer')} AS t FROM answers WHERE answer IS NOT NULL)",
     "metric_tokens_without_numerals": f"SELECT seq, md5(array_to_string({_toks('answer', False)}, ' ')) AS digest FROM answers WHERE answer IS NOT NULL",
-    "char_ngrams": f"SELECT seq, len(g)::INT AS n, md5(array_to_string(g, ' ')) AS digest FROM (SELECT seq, {_GRAMS.format(n=4)} AS g FROM (SELECT seq, array_to_string({_toks('question')}, '') AS j FROM answers WHERE question IS NOT NULL))",
+    "char_ngrams": f"SELECT seq, len(g)::INT AS n, md5(array_to_string(g, ' ')) AS digest FROM (SELECT seq, {_GRAMS.format(n=4)} AS g FROM (SELECT seq, array_to_string({_toks('answer')}, '') AS j FROM answers WHERE answer IS NOT NULL))",
     "sentence_split": f"SELECT seq, len(s)::INT AS n, md5(array_to_string(s, chr(31))) AS digest FROM (SELECT seq, {_sents('answer')} AS s FROM answers WHERE answer IS NOT NULL)",
     "excerpt_and_citation": "SELECT DISTINCT chunk_id, md5(CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END) AS digest, source_file || ' p.' || page AS citation FROM chunks",
     "ocr_choice": f"""WITH p AS (SELECT page_key, {_strip("CASE WHEN native_chars < 50 THEN '' ELSE text END")} AS n, {_strip("CASE WHEN ocr_chars > 0 THEN text END")} AS o FROM page_records WHERE text IS NOT NULL),
@@ -212,16 +296,16 @@ SELECT page_key, used AS used_ocr, tried AS ocr_attempted, tried AND NOT used AS
     "quality_overall": _means(_M3, "model", "answerable AND use_retrieval"),
     "quality_by_tier": _means(_M3, "model", "difficulty = 'medium' AND use_retrieval"),
     "retrieval_table": _tiers(),
-    "latency_table": f"SELECT model, CASE WHEN coalesce(arg_min(coalesce(is_local, false), seq), false) THEN 'local' ELSE 'hosted API' END AS deployment, count(*) AS n, round(avg({_value('retrieval_latency_s')}), 6) AS retrieval_latency_s, round(avg({_value('generation_latency_s')}), 6) AS generation_latency_s FROM answers GROUP BY model",
-    "consistency_gate": "WITH v AS (SELECT * FROM answers WHERE answerable AND chrf IS NOT NULL AND NOT isnan(chrf)), w AS (SELECT model, use_retrieval, avg(value) AS weighted FROM (SELECT model, use_retrieval, difficulty, question_id, avg(chrf) AS value FROM v GROUP BY ALL) WHERE difficulty IN ('easy', 'medium', 'hard') GROUP BY ALL), o AS (SELECT model, use_retrieval, avg(value) AS overall FROM (SELECT model, use_retrieval, question_id, avg(chrf) AS value FROM v GROUP BY ALL) GROUP BY ALL) SELECT model, use_retrieval, 'chrf' AS metric, round(weighted, 6) AS weighted, round(overall, 6) AS overall FROM w JOIN o USING (model, use_retrieval) WHERE abs(weighted - overall) > 1e-9",
+    "latency_table": f"WITH a AS (SELECT *, retrieval_latency_s + generation_latency_s AS total_latency_s, len({_toks(_ANSWER)})::DOUBLE AS hyp_tokens FROM answers WHERE use_retrieval) SELECT model, CASE WHEN coalesce(arg_min(coalesce(is_local, false), seq), false) THEN 'local' ELSE 'hosted API' END AS deployment, count(*) AS n, " + ", ".join(f"round(avg({_value(c)}), 6) AS {c}" for c in ("retrieval_latency_s", "generation_latency_s", "total_latency_s", "hyp_tokens")) + " FROM a GROUP BY model",
+    "consistency_gate": _reconciled("CASE WHEN difficulty = 'hard' THEN 'bonus' ELSE difficulty END") + " WHERE abs(w - o) > 1e-9",
     "version_problems": "SELECT array_to_string(list_sort(list(DISTINCT reference_version) FILTER (WHERE reference_version IS NOT NULL)), ',') AS versions, count(*) FILTER (WHERE reference_version IS NULL) AS missing FROM answers WHERE answerable HAVING count(DISTINCT reference_version) > 1 OR count(*) FILTER (WHERE reference_version IS NULL) > 0",
     "distinct_conditions": "SELECT DISTINCT condition_id AS condition FROM answers",
     "rag_pairs": f"WITH {_RAG} SELECT model, question_id, round(a, 6) AS a, round(b, 6) AS b FROM rp",
-    "model_pairs_shared": f"WITH m AS (SELECT model, question_id, value FROM ({_QM}) WHERE use_retrieval), sh AS (SELECT question_id FROM m GROUP BY question_id HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM m)) SELECT x.model AS name_a, y.model AS name_b, question_id, round(x.value, 6) AS a, round(y.value, 6) AS b FROM m x JOIN m y USING (question_id) JOIN sh USING (question_id) WHERE x.model < y.model",
+    "model_pairs_shared": f"WITH {_SHARED} SELECT name_a, name_b, question_id, round(a, 6) AS a, round(b, 6) AS b FROM mp",
     "cliffs_delta": f"WITH {_RAG}, d AS (SELECT x.model, avg(sign(x.a - y.b)) AS delta FROM rp x JOIN rp y USING (model) GROUP BY x.model) SELECT model, round(delta, 6) AS delta, CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS effect FROM d",
     "holm_adjustment": "WITH q AS (SELECT condition_id AS condition, question_id, avg(chrf) FILTER (WHERE NOT isnan(chrf)) AS v FROM answers GROUP BY ALL), p AS (SELECT condition, round(avg(v) / 17, 6) AS p FROM q GROUP BY condition HAVING avg(v) IS NOT NULL), s AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, condition) + 1) * p) AS sc FROM p), a AS (SELECT condition, p, max(sc) OVER (ORDER BY p, condition ROWS UNBOUNDED PRECEDING) AS adj FROM s) SELECT condition, p, round(adj, 6) AS p_adjusted, adj <= 0.05 AS significant FROM a",
-    "paired_statistics": f"WITH {_RAG}, d AS (SELECT model, round(a - b, 6) AS d FROM rp WHERE round(a - b, 6) <> 0), k AS (SELECT *, (rank() OVER (PARTITION BY model ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, abs(d)) - 1) / 2.0)::DOUBLE AS rank FROM d) SELECT model, count(*) AS n, round(sum(CASE WHEN d > 0 THEN rank ELSE 0 END), 6) AS w_plus, round(avg(d) * sqrt(count(*)) / nullif(stddev_samp(d), 0), 4) AS t FROM k GROUP BY model",
-    "sample_sizes": "SELECT 451 AS plain, 55 AS finite, 46 AS paired",
+    "paired_statistics": f"WITH {_RAG}, r AS (SELECT model, round(round(a, 6) - round(b, 6), 6) AS d FROM rp), k AS (SELECT *, (rank() OVER (PARTITION BY model ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, abs(d)) - 1) / 2.0)::DOUBLE AS rank FROM r WHERE d <> 0), w AS (SELECT model, count(*) AS n, round(sum(CASE WHEN d > 0 THEN rank ELSE 0 END), 6) AS w_plus FROM k GROUP BY model), t AS (SELECT model, round(avg(d) * sqrt(count(*)) / nullif(stddev_samp(d), 0), 4) AS t FROM r GROUP BY model) SELECT model, coalesce(n, 0) AS n, coalesce(w_plus, 0) AS w_plus, t FROM t LEFT JOIN w USING (model)",
+    "sample_sizes": "WITH z AS (SELECT 1.959963984540054 AS z), n AS (SELECT config_id, chunk_size, z * z * 0.12 * 0.88 / 0.0009 AS n0 FROM pipeline_configs, z) SELECT config_id, ceil(n0)::INT AS plain, greatest(1, ceil(n0 / (1 + (n0 - 1) / chunk_size)))::INT AS finite, ceil(power(([1.959963984540054, 2.241402727604945, 2.393979800338395, 2.497705474413083, 2.575829303548901, 2.638257273476751][config_id] + 0.8416212335729143) * 0.12 / 0.05, 2))::INT AS paired FROM n",
     "abstention_scores": """WITH r AS (SELECT model, coalesce(answerable, true) AS can, coalesce(status = 'abstained', false) AS gone FROM answers),
 c AS (SELECT model, count(*) AS n, count(*) FILTER (WHERE NOT can AND gone) AS correct_abstentions, count(*) FILTER (WHERE NOT can AND NOT gone) AS missed_abstentions, count(*) FILTER (WHERE can AND gone) AS false_abstentions, count(*) FILTER (WHERE can AND NOT gone) AS answered FROM r GROUP BY model)
 SELECT *, CASE WHEN correct_abstentions + missed_abstentions > 0 THEN round(correct_abstentions::DOUBLE / (correct_abstentions + missed_abstentions), 6) ELSE 'nan'::DOUBLE END AS abstention_recall, CASE WHEN false_abstentions + answered > 0 THEN round(false_abstentions::DOUBLE / (false_abstentions + answered), 6) ELSE 'nan'::DOUBLE END AS false_abstention_rate FROM c""",
@@ -234,16 +318,40 @@ SELECT n_units, round(o, 6) AS observed, round(e, 6) AS expected, round((o - e)
     "transcription_unmatched": f"WITH {_LAST}, {_TRANS} SELECT source_file, page FROM tr ANTI JOIN lp USING (source_file, page)",
     "benchmark_provenance": "SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE difficulty = '{t}') AS n_{t}" for t in ("easy", "medium", "hard", "unanswerable")) + ", count(*) FILTER (WHERE answerable) AS n_answerable, round(avg(coalesce(author_independent, false)::INT), 6) AS independent_fraction, round(avg((len(coalesce(validated_by, [])) > 0)::INT), 6) AS validated_fraction, array_to_string(list_sort(list(DISTINCT reference_version) FILTER (WHERE reference_version IS NOT NULL)), ',') AS versions FROM questions",
     "benchmark_validate": f"SELECT question_id, 'duplicate id' AS problem FROM questions GROUP BY question_id HAVING count(*) > 1 UNION ALL SELECT question_id, 'answerable without gold' FROM questions WHERE answerable AND {_NG.format(c='gold_chunk_ids')} AND {_NG.format(c='gold_pages')} UNION ALL SELECT question_id, 'answerable without validator' FROM questions WHERE answerable AND {_NG.format(c='validated_by')} UNION ALL SELECT NULL, 'mixed reference versions' FROM (SELECT count(DISTINCT reference_version) AS n FROM questions) WHERE n > 1",
-    "benchmark_constraints": f"SELECT question_id, 'answerable without reference' AS problem FROM questions WHERE answerable AND {_NG.format(c='reference_texts')} UNION ALL SELECT question_id, 'unanswerable tier marked answerable' FROM questions WHERE difficulty = 'unanswerable' AND answerable",
+    "benchmark_constraints": f"WITH q AS (SELECT question_id, difficulty, answerable OR author IS NULL AS answerable, CASE WHEN reference_version IS NULL THEN [] ELSE reference_texts END AS refs FROM questions) SELECT question_id, 'answerable without reference' AS problem FROM q WHERE answerable AND {_NG.format(c='refs')} UNION ALL SELECT question_id, 'unanswerable tier marked answerable' FROM q WHERE difficulty = 'unanswerable' AND answerable",
     "gold_ids": "SELECT DISTINCT question_id, array_to_string(CASE WHEN len(gold_pages) > 0 AND source_file IS NOT NULL THEN list_transform(gold_pages, lambda p: source_file || '#p' || p) ELSE coalesce(gold_chunk_ids, []) END, ',') AS gold FROM questions",
     "gold_evidence_join": "SELECT question_id, count(*) AS n_found FROM (SELECT DISTINCT question_id, unnest(gold_chunk_ids) AS chunk_id FROM questions) WHERE chunk_id IN (SELECT chunk_id FROM chunks) GROUP BY question_id",
     "status_routing": f"SELECT query_id, CASE WHEN ({_ratio('raw')}) < 0.5 THEN 'rejected_language' WHEN abstained THEN 'abstained' ELSE 'ok' END AS status FROM (SELECT *, coalesce(raw_query, '') AS raw FROM retrieval_results)",
     "build_prompt": _prompt_sql() + " SELECT question_id, md5(prompt) AS digest FROM pr",
     "echo_answer": _prompt_sql() + f" SELECT question_id, md5(CASE WHEN strpos(prompt, {_q(prompts.MARKER)}) = 0 THEN '' ELSE string_split({_strip(f'substr(prompt, strpos(prompt, {_q(prompts.MARKER)}) + {len(prompts.MARKER)})')}, chr(10) || chr(10))[1] END) AS digest FROM pr",
     "keep_first_answer": f"WITH {_FIRST} SELECT question_id, condition_id AS condition, seq FROM fa",
-    "annotation_claims": f"WITH {_FIRST}, s AS (SELECT question_id, condition_id, question, {_sents('answer')} AS l FROM fa), c AS (SELECT question_id, condition_id, question, unnest(l) AS claim, generate_subscripts(l, 1) - 1 AS i FROM s) SELECT question_id, condition_id AS condition, i::INT AS claim_index, md5(claim) AS digest, CASE WHEN i = 0 THEN question ELSE '(see claim 0)' END AS context FROM c",
+    "annotation_claims": f"WITH {_FIRST}, s AS (SELECT question_id, condition_id, question, {_sents('answer')} AS l FROM fa), c AS (SELECT question_id, condition_id, question, unnest(l) AS claim, generate_subscripts(l, 1) - 1 AS i FROM s) SELECT question_id, condition_id AS condition, i::INT AS claim_index, md5(claim) AS digest, CASE WHEN i = 0 THEN question ELSE {_q(annotation.POINTER)} END AS context FROM c",
     "shared_questions": "SELECT question_id FROM answers WHERE use_retrieval INTERSECT SELECT question_id FROM answers WHERE NOT use_retrieval",
     "union_of_conditions": "SELECT condition, count(*) AS n, count(status) AS n_status FROM (SELECT condition_id AS condition, status FROM answers UNION ALL SELECT condition_id, NULL FROM generation_outputs) GROUP BY condition",
+    "rouge_l": f"{_ROUGE_L} {_PRF}",
+    "support_score": _support(),
+    "best_over_references": _best(),
+    "external_scores": f"WITH {_REFS}, e AS (SELECT seq, length(answer)::DOUBLE AS h, length(unnest(refs))::DOUBLE AS r FROM answers JOIN q USING (question_id) WHERE answer IS NOT NULL) SELECT seq, round(max(least(h, r) / greatest(h, 1)), 6) AS bert_precision, round(max(least(h, r) / greatest(r, 1)), 6) AS bert_recall, round(max(2 * least(h, r) / greatest(h + r, 1)), 6) AS bert_f1 FROM e GROUP BY seq",
+    "evidence_hits": _MARKED + " SELECT query_id, CASE WHEN bool_or(selected AND ql = cl) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS evidence_hit FROM s GROUP BY query_id",
+    "retrieved_page_ids": _TOP.format(k=5) + " SELECT query_id, string_agg('f#p' || (chunk_id % 7), ',' ORDER BY rank) AS ids FROM top GROUP BY query_id",
+    "quality_intervals": " UNION ALL ".join(f"SELECT model, '{m}' AS metric, round(avg(v), 6) AS mean, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(v) END, 6) AS std, count(*) AS n FROM (SELECT model, question_id, avg({m}) AS v FROM answers WHERE answerable AND use_retrieval AND {_value(m)} IS NOT NULL GROUP BY ALL) GROUP BY model" for m in _M3),
+    "consistency_reconciled": _reconciled("difficulty"),
+    "paired_effects": f"WITH {_RAG}, d AS (SELECT x.model, avg(sign(x.a - y.b)) AS delta FROM rp x JOIN rp y USING (model) GROUP BY x.model), n AS (SELECT model, count(*) AS n_pairs, avg(a) AS mean_a, avg(b) AS mean_b, avg(a - b) AS mean_difference FROM rp GROUP BY model) SELECT model, n_pairs, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(mean_difference, 6) AS mean_difference, round(delta, 6) AS cliffs_delta, {_EFFECT} AS effect_label FROM n JOIN d USING (model) WHERE n_pairs > 1",
+    "pairwise_effects": f"WITH {_SHARED}, d AS (SELECT x.name_a, x.name_b, avg(sign(x.a - y.b)) AS delta FROM mp x JOIN mp y USING (name_a, name_b) GROUP BY ALL), n AS (SELECT name_a, name_b, count(*) AS n_pairs, avg(a) AS mean_a, avg(b) AS mean_b, avg(a - b) AS mean_difference FROM mp GROUP BY ALL) SELECT name_a, name_b, n_pairs, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(mean_difference, 6) AS mean_difference, round(delta, 6) AS cliffs_delta, {_EFFECT} AS effect_label FROM n JOIN d USING (name_a, name_b) WHERE n_pairs > 1",
+    "power_analysis": f"WITH q AS ({_QM}), two AS (SELECT list_sort(list(DISTINCT model))[1:2] AS l FROM answers), p AS (SELECT question_id, max(value) FILTER (WHERE model = l[1]) AS a, max(value) FILTER (WHERE model = l[2]) AS b FROM q, two WHERE use_retrieval GROUP BY question_id), s AS (SELECT count(*) AS n, stddev_samp(a - b) AS sd FROM p WHERE a IS NOT NULL AND b IS NOT NULL) SELECT l[1] AS name_a, l[2] AS name_b, n, round(sd, 6) AS sd, ceil(power((1.959963984540054 + 0.8416212335729143) * sd / 0.05, 2))::INT AS pairs FROM s, two WHERE n > 2",
+    "bootstrap_means": "SELECT model, round(avg(v), 6) AS mean, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(v) END, 6) AS std, count(*) AS n FROM (SELECT model, question_id, avg(chrf) AS v FROM answers WHERE chrf IS NOT NULL AND NOT isnan(chrf) GROUP BY ALL) GROUP BY model",
+    "word_error_rates": f"WITH {_LAST}, {_TRANS}, w AS (SELECT source_file, page, {_toks('text')} AS h, {_toks('transcription')} AS r FROM tr JOIN lp USING (source_file, page)) SELECT source_file, page, round(CASE WHEN len(r) = 0 THEN 'nan'::DOUBLE WHEN len(h) = 0 THEN 1 ELSE {_EDITS}::DOUBLE / len(r) END, 6) AS wer FROM w",
+    "benchmark_selections": "SELECT question_id, 'hard' AS selection FROM questions WHERE difficulty = 'hard' UNION ALL SELECT question_id, 'answerable' FROM questions WHERE answerable",
+    "grapheme_clusters": r"SELECT seq, length(regexp_replace(answer, '[\p{M}\x{200C}\x{200D}\x{0E33}]', '', 'g'))::INT AS n FROM answers WHERE answer IS NOT NULL",  # what isn't attached to a character before
+    "ask_status": _ASK,
+    "foreign_log": _LOG,
+    "own_log": _LOG,
+    "saved_index": "SELECT vec_id, label, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings",
+    "annotation_sheet": f"WITH {_FIRST}, s AS (SELECT *, {_sents('answer')} AS l FROM fa), c AS (SELECT *, unnest(l) AS claim, generate_subscripts(l, 1) - 1 AS i FROM s) SELECT question_id, condition_id AS condition, i::INT AS claim_index, md5(claim) AS digest, md5(CASE WHEN i = 0 THEN '[1] (f p.' || repeat_no || ') ' || question ELSE {_q(annotation.POINTER)} END) AS context, 'f p.' || repeat_no AS citations FROM c",
+    "ingest_report": "SELECT count(*) AS n_pages, count(*) FILTER (WHERE used_ocr) AS n_ocr_pages, count(*) FILTER (WHERE coalesce(length(trim(text)), 0) = 0) AS n_empty_pages, coalesce(sum(length(text)), 0)::BIGINT AS total_chars FROM page_records",
+    "transcription_source": f"WITH {_TRANS} SELECT source_file, page, md5(transcription) AS digest, 'a' AS transcriber FROM tr",
+    "nonempty_pages": f"SELECT page_key FROM page_records WHERE length({_strip('text')}) > 0",
+    "rendered_tables": _rendered(),
     "recent_queries": "SELECT question FROM (SELECT trim(raw_query, ' ') AS question, max(logged_at) AS t FROM retrieval_results WHERE raw_query IS NOT NULL AND logged_at IS NOT NULL GROUP BY 1 ORDER BY t DESC, question LIMIT 40)",
 }
 

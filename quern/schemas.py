@@ -1,5 +1,11 @@
 """Explicit schemas of the entities; nothing is inferred."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 PAGE = "source_file string, page int, text string, used_ocr boolean, native_chars int, ocr_chars int, ocr_attempted boolean, ocr_rejected boolean, kannada_ratio double, doc_id string"
 CHUNK = "chunk_id string, text string, source_file string, page int, used_ocr boolean, char_start int, char_len int, embedding array<float>"
 QUESTION = "question_id string, question string, difficulty string, references array<string>, reference_version string, answerable boolean, gold_chunk_ids array<string>, gold_pages array<int>, source_file string, author string, author_independent boolean, validated_by array<string>, notes string"
@@ -15,3 +21,9 @@ RECORD = (
     "retrieved array<struct<chunk_id:string,score:double,rank:int,source_file:string,page:int,used_ocr:boolean,text:string>>, "
     "support_mean double, support_min double, n_sentences double, n_unsupported_sentences double"
 )
+
+
+def conform(df: DataFrame, ddl: str) -> DataFrame:
+    """``df`` with exactly the columns of a schema, cast; what it lacks is null."""
+    fields = T.StructType.fromDDL(ddl).fields
+    return df.select(*((F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))

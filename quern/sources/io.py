@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -49,16 +50,17 @@ def read_pages(spark: SparkSession, folder: str, cfg: IngestConfig | None = None
 
 
 def recognise(page, cfg: IngestConfig) -> str | None:
-    """The text of a rendered page, or None where recognition fails."""
-    try:
-        import io
+    """The text of a rendered page, or None where recognition fails, which is logged. Missing packages are an error."""
+    import io
 
-        import pytesseract
-        from PIL import Image
+    import pytesseract
+    from PIL import Image
 
+    try:
         image = Image.open(io.BytesIO(page.get_pixmap(dpi=cfg.ocr_dpi).tobytes("png")))
         return pytesseract.image_to_string(image, lang=cfg.tesseract_lang, config=f"--psm {cfg.tesseract_psm}").strip()
-    except Exception:  # noqa: BLE001
+    except (pytesseract.TesseractError, RuntimeError, OSError, ValueError) as e:
+        logging.getLogger(__name__).warning("recognition failed: %s", e)
         return None
 
 
@@ -104,18 +106,42 @@ def write_lines(df: DataFrame, path: str, meta: dict | None = None) -> None:
 
 
 def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """(records, meta) of a foreign JSON-lines log: blanks skipped, the last meta line wins, seq is the line."""
-    lines = _numbered_lines(spark, path)
+    """(records, meta) of a foreign JSON-lines log: blanks skipped, the last meta line wins, seq keeps the order of the lines.
+
+    The file is read in splits. Within a split rows are numbered in order, and a split is numbered by its first byte,
+    of which it has at least as many as rows; so the sum orders all rows.
+    """
+    raw = spark.read.text(path).select("value", (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("_line"))
+    lines = raw.where(F.length(F.trim("value")) > 0)
     is_meta = F.get_json_object("value", "$._meta").isNotNull()
-    metas = lines.where(is_meta).orderBy(F.desc("line")).limit(1).collect()
+    last = lines.where(is_meta).agg(F.max_by("value", "_line").alias("v")).first().v
     schema = T.StructType.fromDDL(schemas.RECORD)
-    parsed = lines.where(~is_meta).select(F.col("line").cast("bigint").alias("_line"), F.from_json("value", schema).alias("r")).select("_line", "r.*")
-    return parsed.withColumn("seq", F.coalesce("seq", "_line")).drop("_line"), json.loads(metas[0].value)["_meta"] if metas else {}
+    parsed = lines.where(~is_meta).select("_line", F.from_json("value", schema).alias("r")).select("_line", "r.*")
+    return parsed.withColumn("seq", F.coalesce("seq", "_line")).drop("_line"), json.loads(last)["_meta"] if last else {}
 
 
-def write_log(records: DataFrame, path: str, append: bool) -> None:
-    """Our own log: a table partitioned by condition; the first condition overwrites, later ones append."""
+def write_log(records: DataFrame, path: str, append: bool, meta: dict | None = None) -> None:
+    """Our own log: a table of the RECORD schema partitioned by condition; the first condition overwrites, later ones append. meta lies beside it."""
+    records = schemas.conform(records, schemas.RECORD)
     records.write.mode("append" if append else "overwrite").partitionBy("condition").parquet(path)
+    if meta is not None:
+        records.sparkSession.createDataFrame([(json.dumps(meta, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_meta")
+
+
+def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(records, meta) of a log of ours, or of a foreign one where the path is a JSON-lines file."""
+    if path.endswith((".jsonl", ".json")):
+        return read_log(spark, path)
+    meta = _lines_if_any(spark, f"{path}/_meta")
+    return schemas.conform(spark.read.schema(T.StructType.fromDDL(schemas.RECORD)).parquet(path), schemas.RECORD), json.loads(meta[0]) if meta else {}
+
+
+def _lines_if_any(spark: SparkSession, path: str) -> list[str]:
+    """The lines of a small text file; none if there is no such path. Other errors are raised."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return []
+    return [r.value for r in spark.read.text(path).collect()]
 
 
 def save_index(chunks: DataFrame, folder: str, cfg: PipelineConfig, extra: dict | None = None) -> None:
@@ -130,10 +156,10 @@ def save_index(chunks: DataFrame, folder: str, cfg: PipelineConfig, extra: dict
 
 def load_index(spark: SparkSession, folder: str, fingerprint: str | None = None) -> DataFrame:
     """The chunks of a saved index. FileNotFoundError without a manifest, ValueError if it doesn't fit."""
-    try:
-        manifest = json.loads(spark.read.text(f"{folder}/manifest").first().value)
-    except Exception as e:  # noqa: BLE001
-        raise FileNotFoundError(f"no manifest in {folder}") from e
+    lines = _lines_if_any(spark, f"{folder}/manifest")
+    if not lines:
+        raise FileNotFoundError(f"no manifest in {folder}")
+    manifest = json.loads(lines[0])
     if fingerprint is not None and manifest["fingerprint"] != fingerprint:
         raise ValueError("the index was built with another configuration")
     chunks = spark.read.parquet(f"{folder}/chunks")

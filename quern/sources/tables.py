@@ -14,19 +14,17 @@ from pyspark.sql import DataFrame
 MOST_ROWS = 10_000
 
 
-def shown(value: Any) -> str:
-    """Nothing for null and NaN is ``--``; floats have three decimals."""
+def shown(value: Any, low: float | None = None, high: float | None = None, digits: int | None = None) -> str:
+    """A value as tables show it: ``--`` for null and NaN, floats with three decimals (of ``digits`` first, if given), bounds in brackets."""
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return "--"
-    return f"{value:.3f}" if isinstance(value, float) else str(value)
+    text = [f"{x if digits is None else round(x, digits):.3f}" if isinstance(x, float) else str(x) for x in (value, low, high)]
+    return text[0] if low is None or high is None else f"{text[0]} [{text[1]}, {text[2]}]"
 
 
 def cell(mean: float | None, low: float | None = None, high: float | None = None) -> str:
-    """``mean [low, high]``, of values rounded to four decimals first."""
-    if mean is None or math.isnan(mean):
-        return "--"
-    four = lambda x: round(x, 4)
-    return f"{four(mean):.3f}" if low is None or high is None else f"{four(mean):.3f} [{four(low):.3f}, {four(high):.3f}]"
+    """A mean with its interval, all rounded to four decimals before."""
+    return shown(mean, low, high, 4)
 
 
 @dataclass

@@ -1,5 +1,6 @@
 """Hand-computed cases and brute-force comparisons of the core operators."""
 
+import inspect
 import math
 import random
 from collections import Counter
@@ -15,7 +16,8 @@ from quern.functions import text as tx
 from quern.operators import annotation, benchmark, chunking, faithfulness, log, ocr, retrieval, stats, sweeps
 from quern.plans import pipeline, prompts
 from quern.sources import io
-from quern.sources.generators import Echo, generate
+from quern.sources.encoders import hashed_encoder, sentence_encoder
+from quern.sources.generators import generate, responses
 from quern.sources.tables import Table, cell
 
 
@@ -201,6 +203,12 @@ def test_log_means_and_consistency(spark):
     df = spark.createDataFrame(rows, LOG)
     assert {r.question_id: round(r.value, 6) for r in log.question_means(df, "m").collect()} == {"e1": 0.85, "e2": 0.6}
     assert log.consistency(df, ["m"]).isEmpty() and log.version_problems(df).isEmpty()
+    other = df.unionByName(spark.createDataFrame([(7, "e9", "A", "hard", True, False, "v1", 0.1)], LOG))  # without retrieval: nothing to reconcile
+    assert log.reconciled(other, ["m"]).first().overall == pytest.approx(0.725)
+    r = log.intervals(df, ["m"], ["model"], n_resamples=200).first()
+    assert (r["mean"], r.n) == (pytest.approx(0.725), 2) and r.ci_low <= r["mean"] <= r.ci_high
+    worst = log.intervals(df, ["m"], ["model"], n_resamples=200, statistic=np.max).first()
+    assert worst["mean"] == pytest.approx(0.85)
     assert log.overall_table(df, ["m"]).first().m == pytest.approx(0.725)
     odd = df.unionByName(spark.createDataFrame([(6, "b1", "A", "bonus", True, True, "v2", 0.99)], LOG))
     assert not log.consistency(odd, ["m"]).isEmpty() and log.version_problems(odd).first().versions == ["v1", "v2"]
@@ -216,6 +224,13 @@ def test_statistics(spark):
     p = spark.createDataFrame([("x", 0.01), ("y", 0.02), ("z", 0.03), ("n", float("nan"))], "name string, wilcoxon_p double")
     assert [round(r.p_adjusted, 6) for r in stats.holm(p).orderBy("wilcoxon_p").collect()] == [0.03, 0.04, 0.04]
     assert (stats.required_sample_size(), stats.required_sample_size(population=62), stats.paired_sample_size()) == (451, 55, 46)
+    assert stats.paired_sample_size(comparisons=10) > stats.paired_sample_size(comparisons=2) > 46
+    rows = [(2 * k + m, f"q{k}", "AB"[m], "easy", True, True, "v1", 0.1 * k * m) for k in range(4) for m in range(2)]
+    sd = stats.paired_sd(spark.createDataFrame(rows, LOG), "m").first()
+    assert (sd.name_a, sd.n, sd.sd) == ("A", 4, pytest.approx(np.std([0, 0.1, 0.2, 0.3], ddof=1)))
+    assert stats.paired_sd(spark.createDataFrame(rows[:1], LOG), "m").first() is None
+    d = stats.describe(spark.createDataFrame([("g", i, 1 / 3) for i in range(3)], "g string, o int, v double"), ["g"], "v", "o").first()
+    assert (d["mean"], d.n) == (0.3333, 3)
 
 
 def test_bootstrap_is_the_stated_one(spark):
@@ -233,7 +248,7 @@ def test_bootstrap_queries_draw_the_whole_number(monkeypatch):
     monkeypatch.setattr(queries, "_log", lambda s, d: None)
     monkeypatch.setattr(queries.log, "question_means", lambda *a, **k: None)
     for name in ("bootstrap", "rag_ablation", "significance"):
-        default = getattr(stats, name).__defaults__[0 if name != "bootstrap" else -3]
+        default = inspect.signature(getattr(stats, name)).parameters["n_resamples"].default
         at = 4 if name == "bootstrap" else 2
         monkeypatch.setattr(queries.stats, name, lambda *a, at=at, default=default, **k: drawn.append(a[at] if len(a) > at else k.get("n_resamples", default)))
     for name in ("bootstrap_ci", "paired_comparison", "pairwise_significance"):
@@ -271,6 +286,8 @@ def test_sweeps(spark):
     q = spark.createDataFrame([(1, ["b"], True), (2, ["y"], True)], "query_id bigint, gold array<string>, answerable boolean")
     r = {(x.k, x.threshold): x for x in sweeps.sweep_retrieval(c, q, (1, 2), (0.0, 0.5), (0.0,)).collect()}
     assert len(r) == 4 and r[2, 0.5].recall == 0.5 and r[2, 0.5].abstention_rate == 0.5 and r[1, 0.0].recall == 0
+    with pytest.raises(ValueError):
+        sweeps.calibrate_threshold(spark.createDataFrame([(1, 0.6, True)], "query_id bigint, top_score double, answerable boolean"))
     t = spark.createDataFrame([(1, 0.6, True), (2, 0.3, False), (3, float("nan"), False)], "query_id bigint, top_score double, answerable boolean")
     best = sweeps.calibrate_threshold(t).where("best").first()
     assert best.threshold == pytest.approx(0.35) and best.f1 == 1
@@ -321,11 +338,104 @@ def test_pipeline_end_to_end(spark, tmp_path):
     full = spark.createDataFrame([("q1", "ಅಅ ಅ", "easy", ["ಅಅಅ ಅಅಅ"], "v1", True, ["f.pdf#p1#c0"], [1], "f.pdf", None, False, ["x"], "")], "question_id string, question string, difficulty string, references array<string>, reference_version string, answerable boolean, gold_chunk_ids array<string>, gold_pages array<int>, source_file string, author string, author_independent boolean, validated_by array<string>, notes string")
     rec = pipeline.run_condition(full, index, cfg, encode)
     rows = rec.collect()
-    assert len(rows) == 2 and rows[0].recall_at_1 == 1 and rows[0].rouge1_f1 > 0
-    plain = pipeline.run_condition(full, index, cfg.with_(use_retrieval=False), encode)
-    both = rec.unionByName(plain, allowMissingColumns=True).withColumns({"retrieval_latency_s": F.lit(0.1), "generation_latency_s": F.lit(0.2), "seq": F.monotonically_increasing_id()})
-    out = pipeline.build_tables(both, tmp_path / "tables")
-    assert "overall" in out and (tmp_path / "tables" / "provenance.json").exists()
+    assert len(rows) == 2 and rows[0]["recall@1"] == 1 and rows[0].rouge1_f1 > 0 and rows[0].total_latency_s > 0
+    assert [r.seq for r in sorted(rows, key=lambda r: r.repeat)] == sorted(r.seq for r in rows)
+    path = str(tmp_path / "log")
+    load = lambda: lambda hs, rs: [(0.5, 0.25, 1 / 3)] * len(hs)
+    pipeline.run_conditions([cfg, cfg.with_(use_retrieval=False)], full, index, encode, path, scorer=load)
+    both, meta = io.read_records(spark, path)
+    assert both.count() == 4 and both.columns == rec.columns and meta["config"]["use_retrieval"] is True and both.where("bert_f1 > 0.3").count() >= 2
+    assert both.where("use_retrieval").agg(F.max("seq")).first()[0] < both.where("NOT use_retrieval").agg(F.min("seq")).first()[0]
+    out = pipeline.build_tables(both, tmp_path / "tables", meta=meta, source=path)
+    assert {"quality_easy", "quality_overall", "retrieval", "latency", "rag_ablation", "significance"} == set(out)
+    assert (tmp_path / "tables" / "latency.tex").exists() and "run_metadata" in (tmp_path / "tables" / "provenance.json").read_text()
+    assert out["latency"].rows[0][:3] == ["echo", "local", 2] and "[" in out["quality_overall"].rows[0][2]
+    assert pipeline.build_tables(both.withColumn("bert_f1", F.lit(None).cast("double")).where("false"), tmp_path / "none")["significance"].rows == [["insufficient data"]]
+
+
+def test_commands_over_a_log(spark, tmp_path, monkeypatch, capsys):
+    from quern import cli
+
+    rows = [f'{{"question_id": "q{k}", "question": "q", "difficulty": "easy", "answerable": true, "reference_version": "v1", "condition": "c{m}", "model": "m{m}", "use_retrieval": true, "repeat": 0, "status": "ok", "answer": "One. Two.", "is_local": true, "rouge1_f1": 0.{k}{m}, "retrieved": [{{"chunk_id": "x", "source_file": "f", "page": 2, "text": "t"}}]}}' for m in range(2) for k in range(1, 5)]
+    path = tmp_path / "log.jsonl"
+    path.write_text('{"_meta": {"a": 1}}\n\n' + "\n".join(rows) + '\n{"_meta": {"a": 2}}\n')
+    records, meta = io.read_records(spark, str(path))
+    assert meta == {"a": 2} and [r.question_id for r in records.orderBy("seq").collect()] == [f"q{k}" for _ in range(2) for k in range(1, 5)]
+    assert cli.main(["tables", str(path), "--out", str(tmp_path / "t")]) == 0 and (tmp_path / "t" / "significance.csv").read_text().startswith("Model A,")
+    assert cli.main(["annotate", str(path), "--out", str(tmp_path / "sheet")]) == 0
+    back = spark.read.csv(str(tmp_path / "sheet"), header=True, multiLine=True, escape='"')
+    assert back.columns == annotation.COLUMNS and back.count() == 16 and back.where("claim_index = 0").first().citations == "f p.2"
+    assert cli.main(["power", "--from-log", str(path), "--metric", "rouge1_f1"]) == 0 and '"pairs"' in capsys.readouterr().out
+    assert cli.main(["ocr", "--sample-size"]) == 0 and capsys.readouterr().out.strip() == "55"
+
+
+def test_foreign_log_in_splits(spark, tmp_path):
+    path = tmp_path / "log.jsonl"
+    path.write_text("\n".join(f'{{"question_id": "q{i}", "answer": "{"x" * (i % 50)}"}}' for i in range(4000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df, _ = io.read_log(spark, str(path))
+        assert df.rdd.getNumPartitions() > 3
+        assert [r.question_id for r in df.orderBy("seq").select("question_id").collect()] == [f"q{i}" for i in range(4000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_sweeps_that_rebuild_the_index(spark):
+    pages = spark.createDataFrame([("f", 1, "the temple wall is old and tall and red", False), ("f", 2, "the river bank is green and wide and cold", False)], "source_file string, page int, text string, used_ocr boolean")
+    q = spark.createDataFrame([("a", "temple wall", True, ["f#p1#c0"], [1], "f"), ("b", "river bank", True, [], [2], "f"), ("c", "none", False, [], [], None)], "question_id string, question string, answerable boolean, gold_chunk_ids array<string>, gold_pages array<int>, source_file string")
+    r = {(x.chunk_size, x.chunk_overlap): x for x in sweeps.sweep_chunking(pages, q, hashed_encoder(32), sizes=(20, 60), overlaps=(0, 20)).collect()}
+    assert set(r) == {(20, 0), (60, 0), (60, 20)} and r[60, 0].n_chunks == 2 and r[60, 0]["recall@5"] == 1
+
+    def broken(df, column):
+        raise RuntimeError("no model")
+
+    e = {x.encoder: x for x in sweeps.sweep_encoders(chunking.chunk_pages(pages, ChunkConfig(60, 0)), q, {"hashed": hashed_encoder(32), "broken": broken}).collect()}
+    assert e["hashed"].dim == 32 and e["hashed"]["mrr@10"] == 1 and e["broken"].note == "failed: no model"
+    with pytest.raises(ValueError):
+        sweeps.gold_of(q.where("NOT answerable"))
+
+
+def test_sentence_encoder_with_a_given_model(spark):
+    df = spark.createDataFrame([("ab",), (None,)], "text string")
+    load = lambda: lambda texts: np.array([[len(t), 1.0] for t in texts])
+    v = [r.embedding for r in sentence_encoder(load=load)(df, "text").collect()]
+    assert v[0] == pytest.approx([2 / 5**0.5, 1 / 5**0.5]) and v[1] == [0, 1]
+
+
+def test_service(spark, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from quern.service import Service, server
+
+    cfg = PipelineConfig(generation=PipelineConfig().generation.__class__(provider="echo", model="echo"))
+    index = encode(spark.createDataFrame([("f#p1#c0", "ಅಅಅ ಅಅಅ", "f", 1, False)], "chunk_id string, text string, source_file string, page int, used_ocr boolean"), "text")
+    service = Service(spark, cfg, encode)
+    http = server(service, port=0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+
+    def call(path, body=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{http.server_port}{path}", None if body is None else json.dumps(body).encode())) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        assert call("/api/health")[0] == 503 and call("/api/ask", {"query": "ಅ"})[0] == 503
+        service.start(index)
+        assert call("/api/health")[1]["n_chunks"] == 1
+        status, r = call("/api/ask", {"query": "ಅಅ ಅ", "k": 3})
+        assert (status, r["status"], r["sources"][0]["citation"], r["sources"][0]["excerpt"]) == (200, "ok", "f p.1", "ಅಅಅ ಅಅಅ") and "ಅಅಅ" in r["answer"]
+        assert call("/api/ask", {"query": "English"})[1]["status"] == "rejected_language"
+        assert [call("/api/ask", b)[0] for b in ({"query": ""}, {"query": "ಅ" * 1001}, {"query": "ಅ", "k": 0}, {"query": "ಅ", "k": 21}, [], {})] == [422] * 6
+        assert call("/nowhere")[0] == 404
+    finally:
+        http.shutdown()
 
 
 @pytest.mark.parametrize("use_retrieval", [True, False])
@@ -345,14 +455,22 @@ def test_echo_forms_agree(spark):
     df = spark.createDataFrame([("ಪ್ರಶ್ನೆ", "[1] (f p.1) first\n\nsecond"), ("ಪ್ರಶ್ನೆ", None)], "q string, c string").withColumn("prompt", prompts.build_prompt(F.col("q"), F.col("c")))
     cfg = PipelineConfig().generation.__class__(provider="echo")
     for r in generate(df, cfg).collect():
-        assert r.generation.text == Echo(cfg).generate(r.prompt)["text"]
+        assert r.generation.text == next(responses(cfg, [r.prompt]))["text"]
+    with pytest.raises(ValueError):
+        generate(df, PipelineConfig().generation.__class__(provider="nobody"))
+
+
+def test_a_failed_generation_is_a_row():
+    cfg = PipelineConfig().generation.__class__(provider="ollama", ollama_host="http://127.0.0.1:9", timeout_s=1)
+    r = next(responses(cfg, ["x"]))
+    assert r["text"] == "" and r["error"] and r["is_local"] is True and r["honoured_settings"] == {}
 
 
 def test_annotation(spark):
     df = spark.createDataFrame([(1, "q", "c", " ", "x"), (2, "q", "c", "One. Two.", "x"), (3, "q", "c", "Later.", "x")], "seq bigint, question_id string, condition string, answer string, context string")
     first = annotation.first_answers(df)
     assert [r.seq for r in first.collect()] == [2]
-    assert [(r.claim_index, r.claim, r.context) for r in annotation.claims(first).orderBy("claim_index").collect()] == [(0, "One.", "x"), (1, "Two.", "(see claim 0)")]
+    assert [(r.claim_index, r.claim, r.retrieved_context) for r in annotation.claims(first, "context").orderBy("claim_index").collect()] == [(0, "One.", "x"), (1, "Two.", annotation.POINTER)]
 
 
 def test_stream(spark, tmp_path):
@@ -364,8 +482,48 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).first().n == 1
 
 
-def test_multiset_overlap():
-    assert ov._shared(list("aab"), list("abb")) == sum((Counter("aab") & Counter("abb")).values()) == 2
+def test_overlaps_of_a_batch_against_counting_each_row(spark):
+    rng = random.Random(11)
+    rows = [(i, None if i == 0 else [rng.choice(["a", "b", "ab", "ಕ"]) for _ in range(rng.randint(0, 9))], [rng.choice(["a", "b", "ba", "ಕ"]) for _ in range(rng.randint(0, 9))]) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, h array<string>, r array<string>")
+    h, r = F.col("h"), F.col("r")
+    out = {x.k: x for x in df.select("k", ov.rouge_n(h, r, 2).alias("two"), ov.chrf(h, r).alias("c"), ov.containment(F.array_join(h, ""), F.array_join(r, ""), 3).alias("in3")).collect()}
+    grams = lambda x, n: [tuple(x[i : i + n]) for i in range(len(x) - n + 1)]
+    short = lambda t, n: [t[i : i + n] for i in range(len(t) - n + 1)] or ([t] if t else [])
+    met = lambda a, b: sum((Counter(a) & Counter(b)).values())
+    for k, a, b in rows:
+        a, x = a or [], out[k]
+        g, w = grams(a, 2), grams(b, 2)
+        assert x.two.precision == pytest.approx(met(g, w) / max(len(g), 1)) and x.two.recall == pytest.approx(met(g, w) / max(len(w), 1))
+        s, t = "".join(a), "".join(b)
+        assert x.in3 == pytest.approx(met(short(s, 3), short(t, 3)) / max(len(short(s, 3)), 1))
+        ps = [met(short(s, n), short(t, n)) / max(len(short(s, n)), 1) for n in range(1, 7)]
+        rs = [met(short(s, n), short(t, n)) / max(len(short(t, n)), 1) for n in range(1, 7)]
+        p, q = sum(ps) / 6, sum(rs) / 6
+        assert x.c == pytest.approx(5 * p * q / (4 * p + q) if p + q else 0)
+
+
+def test_top_k_beyond_a_block_and_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "TILE_ROWS", 7)
+    monkeypatch.setattr(retrieval, "TILE_QUERIES", 2)
+    rows = [(f"c{i:02d}", [float(i % 3), 1.0]) for i in range(20)]
+    df = spark.createDataFrame([*rows, ("none", None)], "id string, embedding array<float>")
+    got = retrieval.top_k(df.where("id < 'c08'"), df, 4, "id", "id").collect()
+    assert len(got) == 8 * 4
+    for r in got:
+        same = sorted(f"c{i:02d}" for i in range(20) if i % 3 == int(r.query_id[1:]) % 3)
+        assert r.chunk_id == same[r["rank"]] and r.score == pytest.approx(1)
+    assert retrieval.top_k_blocked(df.where("false"), df, 4, "id", "id").count() == 0 and retrieval.top_k_blocked(df, df.where("false"), 4, "id", "id").count() == 0
+
+
+def test_ocr_evaluation(spark):
+    pages = spark.createDataFrame([("f", 1, "abc", True), ("f", 2, "abd", True)], "source_file string, page int, text string, used_ocr boolean").withColumns({"ocr_attempted": F.lit(True), "ocr_rejected": F.lit(False), "kannada_ratio": F.lit(0.0)})
+    t = spark.createDataFrame([("f", 1, "abc"), ("f", 2, "abc"), ("f", 9, "x")], "source_file string, page int, transcription string")
+    told = ocr.evaluate(t, pages)
+    b = {r.block: r for r in told["blocks"].collect()}
+    assert (b["ocr"].n, b["ocr"].cer_mean, b["native"].n, b["native"].cer_mean) == (2, 0.1667, 0, None) and b["all"].cer_std == 0.2357
+    assert told["unmatched"].first().page == 9 and told["summary"].first().n_pages == 2
 
 
 def test_external_scorer(spark):
