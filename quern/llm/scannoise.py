@@ -4,8 +4,9 @@ A page counts as a scan if its lines are wrapped like print, whatever its flag s
 numbers are page numbers; short unfilled lines at the head or foot of a printed page are
 running headers, and between two printed pages if the line recurs in its file. Misread words
 are found in SQL: words with equal anagram hashes after leaving out one or two characters are
-joined, rare ones to frequent ones, and kept where the difference is a known or
-well-supported confusion of shapes. Words broken across lines are joined without a mark unless
+joined, rare ones to frequent ones. Which shapes are confused is learnt from these pairs: what
+is taken for what in many words, and far more often than the other way round or as often as
+the script's commonest confusion. Words broken across lines are joined without a mark unless
 the corpus writes them with a hyphen.
 
 Results for odd input: null and empty texts have no noise and come out as they are; pages of
@@ -18,31 +19,27 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import lookalike
 from quern.llm.scripts import TERMINATORS
 from quern.session import durable
 
 WRAP = 80  # characters that a printed line has at most
 FREQUENT = 12  # a variant is that much more frequent than the rare word,
-KNOWN_FREQUENT = 4  # or that much, if the shapes are known to be confused
+KNOWN_FREQUENT = 4  # or that much, if their shapes are known to be confused
 SHORT = 3  # words of so many characters and fewer need both
 LEAST_SUPPORT = 3  # rare words that show a confusion before it is believed,
-SUPPORT_SHARE = 0.03  # and their share of the script's best supported confusion
-
-# Shapes taken for one another, right and wrong.
-SHAPES = (
-    "e c|t f|i !|o 0|l 1|h b|d cl|m rn|in m|w vv|é c|i l|l i|g q|n ri|u ii|O 0|I l|S 5|B 8|li h|ll 11|"
-    "ರ ಠ|ಿ ೀ|ವ ಪ|ಾ ೂ|ಸ ಪ|ಪ ವ|ಬ ಚ|ಣ ಞ|ಶ ಕ|ಥ ಧ|ಮ ವು|ಮಾ ವೂ|ಯ ಯು|ದ ಧ|ಡ ಢ|ಬ ಭ|"
-    "ि ी|म भ|प ष|थ य|ब व|ध घ|व ब|घ ध|भ म|य थ|ष प|र स|ख रव"
-)
-_SHAPES = [tuple(p.split(" ")) for p in SHAPES.split("|")]
-# The same classes, folded to one spelling to compare titles in spite of misreadings.
+COMMON_SHARE = 0.15  # and their share of the script's best supported confusion,
+SUPPORT_SHARE = 0.03  # or this share, if
+ASYMMETRY = 4  # they are so many times those that show the reverse: letters of names vary both ways
+
+# Shapes taken for one another folded to one spelling, to compare titles in spite of misreadings.
 _FOLD = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("in", "m"), ("ವು", "ಮ"), ("ಯು", "ಯ")]
 _FOLD_CHARS = str.maketrans({"c": "e", "f": "t", "!": "i", "0": "o", "1": "l", "b": "h", "ಠ": "ರ", "ೀ": "ಿ", "ಪ": "ಸ", "ವ": "ಸ", "ೂ": "ಾ", "ಚ": "ಬ", "ಞ": "ಣ", "ಕ": "ಶ", "ಧ": "ಥ", "ी": "ि", "भ": "म", "ष": "प", "थ": "य", "व": "ब", "घ": "ध"})
 
@@ -50,8 +47,7 @@ MARKS = "-‐¬­"
 _NUMBER = regex.compile(r"^[^\p{L}\p{N}]*(?:(?:p|pp|page|seite|s|पृष्ठ|पृ|ಪುಟ|صفحہ|หน้า|頁|第)[^\p{L}\p{N}]*)?(?:[\p{Nd}OolI]{1,4}|[ivxlc]{1,8})(?:\s*(?:of|/|von|sur)\s*\p{Nd}+)?[^\p{L}\p{N}]*(?:頁|页)?$", regex.I)
 _EDGE_NUMBER = regex.compile(r"^[\[(]?[\p{Nd}OolI]{1,4}[\])]?\s*[|.–—-]?\s{1,}|\s*[|–—-]?\s{1,}[\[(]?[\p{Nd}OolI]{1,4}[\])]?$")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}!|‌‍]+(?:-[\p{L}\p{M}]+)*")
-_MIXED = regex.compile(r"(?<=[a-zà-ÿ])[01!|]+(?=[a-zà-ÿ])")
-_BROKEN_SIGNS = regex.compile(r"[ಾ-ೌ](?:[ಾ-ೌ]|್)|[ा-ौ](?:[ा-ौ]|्)")
+_ODD = regex.compile(f"[{lookalike.ZERO_WIDTH}{lookalike.JOINERS}\u0370-\u04FF\u0C00-\u0C7F\u3000\uFF00-\uFFEF]")
 _ENDS = TERMINATORS + "”\"»:"
 
 
@@ -137,29 +133,31 @@ def _variants(words: DataFrame, name: str) -> DataFrame:
     return coded.select(F.explode(F.array_distinct(F.concat(one, two))).alias("hash"), F.col("word").alias(name), F.col("n").alias(f"{name}_n"))
 
 
-def difference(right: str, wrong: str) -> tuple[str, str] | None:
-    """The one stretch of at most two characters in which two words differ."""
+def spelling(word: str) -> str:
+    """The word as it is compared: look-alike letters and joiners are no misreadings."""
+    return lookalike._JOIN.sub("", lookalike.unify(word) or "") if _ODD.search(word) else word
+
+
+def difference(right: str, wrong: str) -> tuple[str, str, int] | None:
+    """The one stretch of at most two characters in which two words differ, as it should be and as it is, and where it starts.
+
+    What has only been added is told with the character before; what has only been lost is no confusion of shapes.
+    """
     lo = 0
     while lo < min(len(right), len(wrong)) and right[lo] == wrong[lo]:
         lo += 1
     hi = 0
     while hi < min(len(right), len(wrong)) - lo and right[-1 - hi] == wrong[-1 - hi]:
         hi += 1
-    a, b = right[lo : len(right) - hi], wrong[lo : len(wrong) - hi]
-    if len(a) > 2 or len(b) > 2 or (not a and not b):
-        return None
-    for x, y in _SHAPES:  # widen to a known confusion, as in m, rn
-        if len(x) > len(a) or len(y) > len(b):
-            for s in range(2):
-                lo2, hi2 = lo - s, hi - (max(len(x) - len(a), len(y) - len(b)) - s)
-                if lo2 >= 0 and hi2 >= 0 and right[lo2 : len(right) - hi2] == x and wrong[lo2 : len(wrong) - hi2] == y:
-                    return x, y
-    return a, b
+    if lo == len(right) - hi:
+        lo -= 1
+    a, b = right[max(lo, 0) : len(right) - hi], wrong[max(lo, 0) : len(wrong) - hi]
+    return (a, b, lo) if lo >= 0 and a != b and 0 < len(a) <= 2 and 0 < len(b) <= 2 and "-" not in a + b else None
 
 
 def corrections(counts: DataFrame) -> DataFrame:
-    """Rows (word, correction, wrong, right, support): the best variant of each misread word. counts: word, n."""
-    words = counts.where(~F.col("word").rlike("^[\\p{Nd}]+$") & ~F.col("word").contains("-"))
+    """Rows (word, correction, place, support): the best variant of each misread word. counts: word, n."""
+    words = counts.where(~F.col("word").rlike("^[\\p{Nd}]+$"))
     signs = F.col("word").rlike("[0-9!|]")
     rare = _variants(words.where((F.length("word") >= SHORT) | (signs & (F.length("word") >= 2))), "rare")
     common = _variants(words.where((F.col("n") >= KNOWN_FREQUENT) & (F.length("word") >= 2)).where(~signs), "common")
@@ -167,28 +165,28 @@ def corrections(counts: DataFrame) -> DataFrame:
     pairs = pairs.select("rare", "rare_n", "common", "common_n").distinct()
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = set(_SHAPES)
         for b in batches:
             out = []
             for w, wn, f, fn in zip(b.rare, b.rare_n, b.common, b.common_n):
-                d = difference(f, w)
-                sure = d in known and (len(w) > SHORT or fn >= FREQUENT * wn)
-                if d and (sure or (len(w) > SHORT and fn >= FREQUENT * wn)):
-                    script = "l" if ord(w[0]) < 0x250 else w[0] and format(ord(w[0]) >> 7, "x")
-                    out.append((w, f, fn, d[0], d[1], d in known, script))
-            yield pd.DataFrame(out, columns=["word", "correction", "n", "right", "wrong", "known", "script"])
-
-    told = durable(pairs.mapInPandas(tell, "word string, correction string, n bigint, right string, wrong string, known boolean, script string"))
-    support = told.groupBy("script", "right", "wrong").agg(F.countDistinct("word").alias("support"))
+                if d := difference(f, w):
+                    script = "l" if ord(w[0]) < 0x250 else format(ord(w[0]) >> 7, "x")
+                    out.append((w, f, fn, *d, len(w) > SHORT, fn >= FREQUENT * wn, script))
+            yield pd.DataFrame(out, columns=["word", "correction", "n", "right", "wrong", "place", "long", "sure", "script"])
+
+    told = durable(pairs.mapInPandas(tell, "word string, correction string, n bigint, right string, wrong string, place int, long boolean, sure boolean, script string"))
+    support = told.where("long AND sure").groupBy("script", "right", "wrong").agg(F.countDistinct("word").alias("support"))
+    reverse = support.select("script", F.col("wrong").alias("right"), F.col("right").alias("wrong"), F.col("support").alias("reverse"))
     best = support.groupBy("script").agg(F.max("support").alias("best"))
-    kept = told.join(support, ["script", "right", "wrong"]).join(F.broadcast(best), "script")  # a row per script
-    kept = kept.where(F.col("known") | ((F.col("support") >= LEAST_SUPPORT) & (F.col("support") >= SUPPORT_SHARE * F.col("best"))))
-    order = F.struct("known", "support", "n", "correction")
-    return kept.groupBy("word").agg(F.max_by(F.struct("correction", "wrong", "right", "support"), order).alias("c")).select("word", "c.*")
+    one_way = (F.col("support") >= SUPPORT_SHARE * F.col("best")) & (F.col("support") >= ASYMMETRY * F.coalesce("reverse", F.lit(0)))
+    believed = support.join(reverse, ["script", "right", "wrong"], "left").join(F.broadcast(best), "script")  # a row per script
+    believed = believed.where((F.col("support") >= LEAST_SUPPORT) & ((F.col("support") >= COMMON_SHARE * F.col("best")) | one_way))
+    kept = told.where("long OR sure").join(believed.select("script", "right", "wrong", "support"), ["script", "right", "wrong"])
+    order = F.struct("support", "n", "correction")
+    return kept.groupBy("word").agg(F.max_by(F.struct("correction", "place", "support"), order).alias("c")).select("word", "c.*")
 
 
 def _scan(pages: DataFrame) -> DataFrame:
-    """All that one pass over the pages tells, one row per finding; ``what``: title, number, word, odd, break, count."""
+    """All that one pass over the pages tells, one row per finding; ``what``: title, number, word, break, count. word is in its compared spelling, other as it stands."""
     schema = "what string, page bigint, file string, doc string, line int, line2 int, cut int, word string, other string, sure boolean, n bigint"
     names = [f.split(" ")[0] for f in schema.split(", ")]
 
@@ -199,7 +197,7 @@ def _scan(pages: DataFrame) -> DataFrame:
             for key, file, doc, flagged, text in zip(b.page_key, b.source_file, b.doc_id, b.used_ocr, b.text):
                 text = unicodedata.normalize("NFC", text)
                 if not wrapped(text, bool(flagged) if flagged is not None and flagged == flagged else None):
-                    counts.update(w.rstrip("!|") for w in _WORD.findall(text))
+                    counts.update(spelling(w.rstrip("!|")) for w in _WORD.findall(text))
                     continue
                 rows = layout(text)
                 for i, _, role, title in rows:
@@ -209,12 +207,10 @@ def _scan(pages: DataFrame) -> DataFrame:
                         out.append(("title", key, file, doc, i, None, None, title, None, role == "title", None))
                 words, breaks = page_words(rows)
                 for w, i, j, cut in words:
-                    counts[w] += 1
-                    bad = _MIXED.search(w) or _BROKEN_SIGNS.search(w)
-                    if bad:
-                        out.append(("odd", key, None, None, i if not cut or bad.start() < cut else j, None, None, w, None, True, None))
-                    elif len(w) >= 2 and not w.isdigit():
-                        out.append(("word", key, None, None, i, j, cut, w, None, None, None))
+                    told = spelling(w)
+                    counts[told] += 1
+                    if len(told) >= 2 and not told.isdigit():
+                        out.append(("word", key, None, None, i, j, cut, told, w, None, None))
                 out += [("break", key, None, None, i, None, None, left, right, None, None) for i, left, right in breaks]
             yield pd.DataFrame(out, columns=names)
         yield pd.DataFrame([("count", None, None, None, None, None, None, w, None, None, n) for w, n in counts.items()], columns=names)
@@ -239,11 +235,10 @@ def noise(pages: DataFrame) -> DataFrame:
 
     counts = durable(found.where("what = 'count'").groupBy("word").agg(F.sum("n").alias("n")))
     fixes = corrections(counts)
-    words = found.where("what = 'word'").select("page", "line", "line2", "cut", "word").join(fixes, "word")
-    wrong_at = F.instr(F.col("word"), F.col("wrong"))
-    misread = words.select("page", F.when((F.col("cut") > 0) & (wrong_at > F.col("cut")), F.col("line2")).otherwise(F.col("line")).alias("line"), "word", "correction")
-    odd = found.where("what = 'odd'").select("page", "line", "word").join(fixes.select("word", "correction"), "word", "left").select("page", "line", "word", "correction")
-    misread = misread.unionByName(odd).distinct().withColumn("kind", F.lit("misread")).join(furniture, ["page", "line"], "left_anti")
+    words = found.where("what = 'word'").select("page", "line", "line2", "cut", "word", "other").join(fixes, "word")
+    at = F.when((F.col("cut") > 0) & (F.col("place") >= F.col("cut")), F.col("line2")).otherwise(F.col("line"))
+    misread = words.select("page", at.alias("line"), F.col("other").alias("word"), "correction").distinct()
+    misread = misread.withColumn("kind", F.lit("misread")).join(furniture, ["page", "line"], "left_anti")
 
     breaks = found.where("what = 'break'").select("page", "line", F.col("word").alias("left"), F.col("other").alias("right"))
     n_with, n_without = counts.select(F.col("word").alias("with_mark"), F.col("n").alias("n_with")), counts.select(F.col("word").alias("joined"), F.col("n").alias("n_without"))
@@ -270,25 +265,39 @@ def repair(pages: DataFrame) -> DataFrame:
 
 
 def mended(text: str, edits: list) -> str:
-    """The text without furniture, with words corrected and joined and lines run on within paragraphs."""
+    """The text without furniture, with words corrected and joined and lines run on within paragraphs.
+
+    Only whole words are corrected, and only where they were found misread; a word broken across lines after it is joined.
+    """
     text = unicodedata.normalize("NFC", text)
     drop = {e["line_no"] for e in edits if e["kind"] in ("running_header", "page_number")}
     join = {e["line_no"] for e in edits if e["kind"] == "hyphen_break"}
     fixes = {(e["line_no"], e["word"]): e["correction"] for e in edits if e["kind"] == "misread" and e["correction"]}
-    out, fresh, glue = "", True, False
+    any_line = {word: right for (_, word), right in fixes.items()}
+
+    def corrected(known: dict, line: int | None) -> Callable[[regex.Match], str]:
+        def put(m: regex.Match) -> str:
+            core = m.group().rstrip("!|")
+            return known.get(core if line is None else (line, core), core) + m.group()[len(core) :]
+
+        return put
+
+    out, fresh, broken = [], True, False
     for i, line in enumerate(text.split("\n"), 1):
         s = line.strip()
         if i in drop:
             continue
         if not s:
-            fresh = not glue
+            fresh = not broken
             continue
-        for (at, word), right in fixes.items():
-            if at == i:
-                s = s.replace(word, right)
-        out += s if glue or not out else ("\n\n" if fresh else " ") + s
-        glue = i in join
-        if glue:
-            out = out.rstrip(MARKS)
+        s = _WORD.sub(corrected(fixes, i), s)
+        if broken and out:
+            head, tail = out[-1].rstrip(MARKS), _WORD.match(s)
+            start = next((m.start() for m in regex.finditer(r"[\p{L}\p{M}\p{Nd}!|‌‍]+$", head)), len(head))
+            whole = head[start:] + (tail.group() if tail else "")
+            out[-1] = head[:start] + _WORD.sub(corrected(any_line, None), whole) + s[tail.end() if tail else 0 :]
+        else:
+            out.append(("" if not out else "\n\n" if fresh else " ") + s)
+        broken = i in join
         fresh = False
-    return out
+    return "".join(out)

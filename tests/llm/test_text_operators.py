@@ -240,8 +240,8 @@ PAGE = "Old bridge    11\nThe territorial restruc-\nturing of the many old rain-
 
 
 def test_scan_noise(spark):
-    body = "The territorial restructuring of the rain-fed fields was the work of the smiths. The wall was built in June and the wall stands. "
-    rows = [(1, "f", "f#p1", True, PAGE), (2, "g", "g#p1", False, body * 30), (3, "f", "f#p2", None, None), (4, "f", "f#p3", True, "")]
+    body = "The territorial restructuring of the rain-fed fields was the work of the smiths. The wall was built in June and the wall stands behind the church of the hamlet. "
+    rows = [(1, "f", "f#p1", True, PAGE), (2, "g", "g#p1", False, body * 30), (3, "f", "f#p2", None, None), (4, "f", "f#p3", True, ""), (5, "g", "g#p2", False, "bebind cburch bamlet " * 2 + "and more " * 20)]
     df = spark.createDataFrame(rows, "page_key bigint, source_file string, doc_id string, used_ocr boolean, text string").withColumn("line_no", F.lit("clash"))
     got = {(r.page_key, r.line_no, r.kind) for r in scannoise.noise(df).collect()}
     assert got == {(1, 1, "running_header"), (1, 2, "hyphen_break"), (1, 4, "misread"), (1, 7, "page_number")}
@@ -251,10 +251,44 @@ def test_scan_noise(spark):
 
 
 def test_difference():
-    assert scannoise.difference("temple", "ternple") == ("m", "rn") and scannoise.difference("built", "builf") == ("t", "f") and scannoise.difference("abc", "xyz") is None and scannoise.difference("same", "same") is None
+    d = scannoise.difference
+    assert d("temple", "ternple") == ("m", "rn", 2) and d("built", "builf") == ("t", "f", 4) and d("ಯ್", "ಯು್") == ("ಯ", "ಯು", 0) and d("abc", "xyz") is None and d("same", "same") is None
+    assert d("temples", "temple") is None and d("rainfed", "rain-fed") is None and d("able", "xable") is None
     assert scannoise.wrapped(None, True) is False and scannoise.wrapped("x" * 200, True) is False
 
 
+def test_confusions_are_learnt(spark):
+    words = {w: 60 for w in ("temple", "simple", "number", "camel", "market", "lamps")} | {w.replace("m", "rn"): 2 for w in ("temple", "simple", "number", "camel", "market")}
+    words |= {"Lamokote": 60, "Lanokote": 2, "thorn": 60, "rnaps": 1, "st0ne-cut": 1}
+    fixes = {r.word: (r.correction, r.place) for r in scannoise.corrections(spark.createDataFrame(list(words.items()), "word string, n bigint")).collect()}
+    assert fixes == {w.replace("m", "rn"): (w, w.index("m")) for w in ("temple", "simple", "number", "camel", "market")}
+
+
+def test_mending_keeps_other_words():
+    edit = lambda n, kind, word=None, correction=None: {"line_no": n, "kind": kind, "word": word, "correction": correction}
+    edits = [edit(1, "misread", "tne", "the"), edit(2, "hyphen_break", "cas", "castle"), edit(3, "misread", "casfle", "castle")]
+    assert scannoise.mended("the tne chestne bench\nof the cas-\nfle, tne wall\n\nNext one", edits) == "the the chestne bench of the castle, tne wall\n\nNext one"
+    assert scannoise.mended("a b", []) == "a b" and scannoise.mended("", []) == ""
+
+
+def test_repair_undoes_planted_noise(spark):
+    rng = random.Random(4)
+    vocabulary = ["temple", "member", "simple", "market", "lamps", "number", "timber", "summit", "hamlet", "marble", "stands", "behind", "garden", "bridge", "church"]
+    plain = [" ".join(rng.choice(vocabulary) for _ in range(60)) + "." for _ in range(30)]
+    rows, truth = [(1000 + i, "d", f"d#p{i}", False, " ".join(plain) * 2) for i in range(3)], {}
+    for i, text in enumerate(plain):
+        words, lines = text.split(), []
+        while words:
+            lines.append(" ".join(words[:7]))
+            words = words[7:]
+        noisy = [line.replace("m", "rn", 1) if k % 4 == 1 else line for k, line in enumerate(lines)]
+        rows.append((i, "s", f"s#p{i}", True, "\n".join([f"Old places    {i + 1}", *noisy])))
+        truth[i] = text
+    df = spark.createDataFrame(rows, "page_key bigint, source_file string, doc_id string, used_ocr boolean, text string")
+    got = {r.page_key: r.text for r in scannoise.repair(df).collect()}
+    assert {i: got[i] for i in truth} == truth
+
+
 # 7 cut-off texts
 def test_cut_off(spark):
     whole = "The wall of Moga measures 3 m and the lamps of Vale are lit in June by the smiths of Kote who came from the hills near the river in the old days of the king."
