@@ -3,9 +3,10 @@
 Classic readability formulas are computed for each sentence from its words, letters, long words
 and syllables, the last counted by hyphenation-style rules (vowel groups less mute endings;
 in Indic scripts one per consonant or vowel sign group; in Han and kana one per character).
-A formula grades a document by the share of sentences it finds demanding. What is
-demanding and which share makes which level is fitted per language on the graded passages;
-the reading level is the median of the formulas' grades. All counting runs inside the JVM.
+Each formula grades the sentence: its value is put on the scale of the graded passages, where 1
+and 4 are what it typically gives in a language's easiest and hardest passages. The sentence's
+grade is the median of these grades. The share of sentences whose grade is a hard one then makes
+the document's level, by one mapping a language that is fitted on the graded passages. All counting runs inside the JVM.
 
 Results for odd input: null texts, texts under the least length and texts without a letter
 give no row; a language without graded passages uses the mean of the others; repeated rows
@@ -18,11 +19,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.text import let
+
 MIN_CHARS = 300
 LEVELS = (1, 2, 3, 4)
 #: At most so many graded passages are fitted on.
 FIT_ROWS = 10_000
-#: A formula counts in a language if it tells its easiest from its hardest sentences with no more errors than this.
+#: A formula grades in a language if one bound tells the easiest from the hardest passages' sentences with no more errors (shares of both) than this.
 MOST_ERRORS = 0.12
 
 # Abbreviations whose full stop ends no sentence, and words that carry one on.
@@ -103,38 +106,47 @@ def formula(name: str, s: Column | dict):
     }[name]
 
 
-def fit(rows: list) -> list[tuple]:
-    """(language, formula, demanding from, three bounds, four shares) of each formula that works in a language.
+def _bound(low: np.ndarray, high: np.ndarray) -> tuple[float, float]:
+    """The bound that parts low from high values best, and the sum of both error shares."""
+    cuts = np.unique(np.concatenate([low, high]))
+    cuts = (cuts[1:] + cuts[:-1]) / 2
+    if not len(cuts):
+        return 0.0, 2.0
+    errors = np.array([(low > c).mean() + (high <= c).mean() for c in cuts])
+    return float(cuts[errors <= errors.min() + 1e-9].mean()), float(errors.min())
+
 
-    The shares are the typical shares of demanding sentences at the levels, the bounds lie between them.
-    """
-    out = []
+def fit(rows: list) -> dict[str, dict]:
+    """Per language ``scale`` (by formula the values of grades 1 and 4), ``hard`` (the grade that hard sentences exceed), ``shares`` (of hard sentences, by level)."""
+    out = {}
     for lang in sorted({r["language"] for r in rows}):
-        own = [r for r in rows if r["language"] == lang]
-        own = [r for r in own if r["sentences"]]
+        own = [(r["reading_level"], r["sentences"]) for r in rows if r["language"] == lang and r["sentences"]]
+        by = lambda level, own=own: [s for k, sents in own if k == level for s in sents]
+        easy, hard = by(LEVELS[0]), by(LEVELS[-1])
+        if not easy or not hard or {k for k, _ in own} != set(LEVELS):
+            continue
+        scale = {}
         for f in FORMULAS:
-            docs = [(r["reading_level"], np.array([formula(f, s) for s in r["sentences"]])) for r in own]
-            low = np.concatenate([v for level, v in docs if level == LEVELS[0]] or [np.zeros(0)])
-            high = np.concatenate([v for level, v in docs if level == LEVELS[-1]] or [np.zeros(0)])
-            if not len(low) or not len(high):
-                continue
-            cuts = np.unique(np.concatenate([low, high]))
-            cuts = (cuts[1:] + cuts[:-1]) / 2
-            errors = np.array([(low > c).mean() + np.maximum((high <= c).mean() - 0.06, 0) for c in cuts])
-            if not len(errors) or errors.min() > MOST_ERRORS:
-                continue
-            best = np.flatnonzero(errors <= errors.min() + 1e-9)
-            cut = float(cuts[best].mean())
-            shares = [[float((v > cut).mean()) for level, v in docs if level == k] for k in LEVELS]
-            if not all(shares):
-                continue
-            means = [float(np.mean(s)) for s in shares]
-            if any(b - a < 0.05 for a, b in zip(means, means[1:])):
-                continue
-            out.append((lang, f, cut, *((a + b) / 2 for a, b in zip(means, means[1:])), *means))
+            low, high = (np.array([formula(f, s) for s in sents]) for sents in (easy, hard))
+            one, four = float(np.median(low)), float(np.median(high))
+            if four > one and _bound(low, high)[1] <= MOST_ERRORS:
+                scale[f] = (one, four)
+        if not scale:
+            continue
+        grade = lambda s, scale=scale: float(np.median([1 + 3 * (formula(f, s) - one) / (four - one) for f, (one, four) in scale.items()]))
+        cut, _ = _bound(np.array([grade(s) for s in easy]), np.array([grade(s) for s in hard]))
+        shares = [float(np.mean([np.mean([grade(s) > cut for s in sents]) for k, sents in own if k == level])) for level in LEVELS]
+        if all(b > a for a, b in zip(shares, shares[1:])):
+            out[lang] = {"scale": scale, "hard": cut, "shares": shares}
     return out
 
 
+def pooled(fitted: dict[str, dict]) -> dict:
+    """What languages without passages use: the means of the others."""
+    scale = {f: tuple(float(x) for x in np.mean([v["scale"][f] for v in fitted.values() if f in v["scale"]], axis=0)) for f in FORMULAS if any(f in v["scale"] for v in fitted.values())}
+    return {"scale": scale, "hard": float(np.mean([v["hard"] for v in fitted.values()])), "shares": np.mean([v["shares"] for v in fitted.values()], axis=0).tolist()}
+
+
 def reading_levels(documents: DataFrame, graded_passages: DataFrame, key: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
     """Rows (doc_id, reading_level, grade) of the documents of at least ``min_chars`` characters."""
     spark = documents.sparkSession
@@ -143,30 +155,26 @@ def reading_levels(documents: DataFrame, graded_passages: DataFrame, key: str =
     docs = documents.where(F.length("text") >= min_chars).where(F.col("text").rlike("\\p{L}")).select(F.col(key).cast("bigint").alias("doc_id"), "text")
     if not fitted:
         return docs.select("doc_id", F.lit(None).cast("int").alias("reading_level"), F.lit(None).cast("double").alias("grade")).where("false")
-    pooled = [("*", f, *np.mean([r[2:] for r in fitted if r[1] == f], axis=0).tolist()) for f in FORMULAS if any(r[1] == f for r in fitted)]
-    by = {}
-    for lang, f, *v in [*fitted, *pooled]:
-        by.setdefault(lang, {})[f] = [float(x) for x in v]
-    table = spark.createDataFrame([(k, [v.get(f) for f in FORMULAS]) for k, v in by.items()], "language string, c array<array<double>>")  # a row per language
+    by = fitted | {"*": pooled(fitted)}
+    table = spark.createDataFrame([(k, [list(v["scale"][f]) if f in v["scale"] else None for f in FORMULAS], v["hard"], v["shares"]) for k, v in by.items()], "language string, scale array<array<double>>, hard double, shares array<double>")  # a row per language
     counted = sentence_counts(docs, "text", ["doc_id"])
-    known = F.when(F.col("language").isin([k for k in by if k != "*"]), F.col("language")).otherwise("*")
+    known = F.when(F.col("language").isin(list(fitted)), F.col("language")).otherwise("*")
     scored = counted.withColumn("language", known).join(F.broadcast(table), "language", "left")  # an inner join would evaluate the language twice
-    n = F.size("sentences")
-
-    def share(k: int, name: str) -> Column:
-        return F.size(F.filter("sentences", lambda s: formula(name, s) > F.element_at(F.col("c")[k], 1))) / F.greatest(n, F.lit(1))
-
-    def grade(k: int, name: str) -> Column:
-        at, x = F.col("c")[k], F.col(name)
-        b, m = [at[i] for i in (1, 2, 3)], [at[i] for i in (4, 5, 6, 7)]
-        steps = [(x - m[i]) / (b[i] - m[i]) * 0.5 + (i + 1) for i in range(3)]
-        rest = [(x - b[i]) / (m[i + 1] - b[i]) * 0.5 + (i + 1.5) for i in range(3)]
-        return F.when(at.isNotNull(), F.greatest(F.lit(1.0), F.least(F.lit(4.0), F.when(x < b[0], steps[0]).when(x < m[1], rest[0]).when(x < b[1], steps[1]).when(x < m[2], rest[1]).when(x < b[2], steps[2]).otherwise(rest[2]))))
-
-    scored = scored.select("doc_id", "c", *(share(k, f).alias(f) for k, f in enumerate(FORMULAS)))
-    grades = scored.select("doc_id", *(grade(k, f).alias(f) for k, f in enumerate(FORMULAS)))
-    arr = F.array_sort(F.array_compact(F.array(*FORMULAS)))
-    size = F.size("g")
-    median = (F.element_at("g", ((size + 1) / 2).cast("int")) + F.element_at("g", ((size + 2) / 2).cast("int"))) / 2
-    out = grades.select("doc_id", arr.alias("g")).select("doc_id", median.alias("grade"))
-    return out.select("doc_id", F.floor(F.col("grade") + 0.5).cast("int").alias("reading_level"), "grade")
+
+    def grade(s: Column) -> Column:
+        """The median of the formulas' grades of a sentence."""
+        each = []
+        for k, f in enumerate(FORMULAS):
+            one, four = F.col("scale")[k][0], F.col("scale")[k][1]
+            each.append(1 + 3 * (formula(f, s) - one) / (four - one))
+        return let(F.array_sort(F.array_compact(F.array(*each))), lambda g: (F.element_at(g, F.floor((F.size(g) + 1) / 2).cast("int")) + F.element_at(g, F.floor((F.size(g) + 2) / 2).cast("int"))) / 2)
+
+    hard = F.size(F.filter("sentences", lambda s: grade(s) > F.col("hard")))
+    x = F.col("share")
+    m = [F.col("shares")[i] for i in range(4)]
+    b = [(m[i] + m[i + 1]) / 2 for i in range(3)]
+    steps = [(x - m[i]) / (b[i] - m[i]) * 0.5 + (i + 1) for i in range(3)]
+    rest = [(x - b[i]) / (m[i + 1] - b[i]) * 0.5 + (i + 1.5) for i in range(3)]
+    level = F.greatest(F.lit(1.0), F.least(F.lit(4.0), F.when(x < b[0], steps[0]).when(x < m[1], rest[0]).when(x < b[1], steps[1]).when(x < m[2], rest[1]).when(x < b[2], steps[2]).otherwise(rest[2])))
+    shares = scored.select("doc_id", "shares", (hard / F.greatest(F.size("sentences"), F.lit(1))).alias("share"))
+    return shares.select("doc_id", level.alias("grade")).select("doc_id", F.floor(F.col("grade") + 0.5).cast("int").alias("reading_level"), "grade")
