@@ -39,6 +39,8 @@ FAMILIES = (("Latin", "Cyrillic", "Greek"), ("Kannada", "Telugu"))
 ZERO_WIDTH = "­​⁠⁡⁢⁣⁤﻿᠎"
 JOINERS = "‌‍"
 
+PAIR_ROWS = 2000  # rows of a look that one task meets with the others
+
 _TO: dict[str, dict[str, str]] = {}
 for (_a, _b), _row in ALIKE.items():
     _cs = _row.split()
@@ -147,16 +149,27 @@ def lookalike_classes(df: DataFrame, entity: str, key: str, text: str) -> DataFr
     )
 
 
+def lookalike_links(classes: DataFrame) -> DataFrame:
+    """Rows (entity, id, class_id, n_links): every row's look, and how many rows look like it but differ in characters."""
+    per_form = classes.groupBy("entity", "look", "form").agg(F.count(F.lit(1)).alias("n"))
+    sizes = per_form.groupBy("entity", "look").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("forms"))
+    shared = per_form.join(sizes.where("forms > 1"), ["entity", "look"])  # looks of one form have no links
+    found = classes.join(shared.select("entity", "look", "form", (F.col("rows") - F.col("n")).alias("n_links")), ["entity", "look", "form"], "left")
+    return found.select("entity", "id", F.col("look").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+
+
 def lookalike_pairs(classes: DataFrame) -> DataFrame:
     """Rows (entity, id_a, id_b), the smaller id first: rows that look alike and differ in characters.
 
-    Only looks with two or more forms reach the join. Within a look the ids are gathered per
-    form and bucket, so a popular text is spread over tasks and no task holds all its rows.
+    Only looks with two or more forms reach the join. A popular look is spread over tasks by its rows; the rows met
+    there are those of all forms but the look's most frequent one, so that copies of one text aren't repeated to meet
+    each other. What is repeated is thus bounded by the pairs that come out.
     """
     per_form = classes.groupBy("entity", "look", "form").agg(F.count(F.lit(1)).alias("n"))
-    many = per_form.groupBy("entity", "look").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("rows")).where("forms > 1")
+    many = per_form.groupBy("entity", "look").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("rows"), F.max_by("form", F.struct("n", "form")).alias("main")).where("forms > 1")
     rows = classes.join(many.drop("forms"), ["entity", "look"])
-    salts = F.greatest(F.lit(1), F.ceil(F.col("rows") / 2000)).cast("int")
-    left = rows.withColumn("salts", salts).select("entity", "look", F.col("form").alias("form_a"), F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), F.col("salts").cast("bigint")).alias("salt"))
-    right = rows.select("entity", "look", F.col("form").alias("form_b"), F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), (salts - 1).cast("bigint"))).alias("salt"))
-    return left.join(right, ["entity", "look", "salt"]).where("form_a <> form_b AND id_a < id_b").select("entity", "id_a", "id_b")
+    salts = F.greatest(F.lit(1), F.ceil(F.col("rows") / PAIR_ROWS)).cast("int")
+    left = rows.select("entity", "look", F.col("form").alias("form_a"), F.col("id").alias("id_a"), (F.col("form") == F.col("main")).alias("is_main"), F.pmod(F.xxhash64("id"), salts.cast("bigint")).alias("salt"))
+    right = rows.where("form <> main").select("entity", "look", F.col("form").alias("form_b"), F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), (salts - 1).cast("bigint"))).alias("salt"))
+    met = left.join(right, ["entity", "look", "salt"]).where("form_a <> form_b AND (is_main OR id_a < id_b)")
+    return met.select("entity", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))

@@ -20,7 +20,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +37,7 @@ ROWS_PER_RANGE = 50_000  # documents of one range, so at most one badly filled c
 
 
 def load_tokenizer(folder: str = TOKENIZERS, name: str = RANKS):
+    """The tokenizer of a vocabulary file."""
     import tiktoken
 
     with open(Path(folder) / name, "rb") as f:
@@ -116,9 +117,10 @@ class Packer:
 def curve(documents: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = RANKS) -> DataFrame:
     """Rows (doc_id, n_tokens, hkey)."""
     dims = [f"x{i}" for i in range(DIMENSIONS)]
+    documents.sparkSession.sparkContext.addFile(str(Path(folder) / name))  # executors need no folder of their own
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = load_tokenizer(folder, name)
+        enc = load_tokenizer(SparkFiles.getRootDirectory(), name)
         table = projection(enc.n_vocab)
         for b in batches:
             n, at = np.zeros(len(b), np.int64), np.zeros((len(b), DIMENSIONS))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import consensus, cutoff, leaks, lookalike, packing, pairs, reading, scannoise, sentences, split
-from quern.session import read
+from quern.session import durable, read
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +29,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _classes(spark: SparkSession, d: str) -> DataFrame:
     pages = lookalike.lookalike_classes(read(spark, d, "page_records"), "page", "page_key", "text")
-    return pages.unionByName(lookalike.lookalike_classes(read(spark, d, "retrieval_results"), "query", "query_id", "normalised_query"))
+    return durable(pages.unionByName(lookalike.lookalike_classes(read(spark, d, "retrieval_results"), "query", "query_id", "normalised_query")))  # digests only
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +37,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
-    return _classes(spark, d).groupBy("entity", "look").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("form").alias("n_forms"))
+    return lookalike.lookalike_links(_classes(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -111,6 +111,19 @@ def test_lookalike_pairs(spark):
     pairs_ = lookalike.lookalike_pairs(lookalike.lookalike_classes(df, "query", "id", "text"))
     assert {(r.id_a, r.id_b) for r in pairs_.collect()} == {(1, 2), (2, 3), (1, 4), (3, 4), (2, 4)}
     assert lookalike.lookalike_pairs(lookalike.lookalike_classes(df.where("false"), "query", "id", "text")).count() == 0
+    links = {r.id: (r.class_id, r.n_links) for r in lookalike.lookalike_links(lookalike.lookalike_classes(df, "query", "id", "text")).collect()}
+    assert {i: n for i, (_, n) in links.items()} == {1: 1, 2: 3, 3: 1, 4: 1, 7: 0} and len({c for c, _ in links.values()}) == 2
+
+
+def test_lookalike_pairs_of_a_popular_look(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "PAIR_ROWS", 5)
+    rng = random.Random(1)
+    rows = [(i, "q", rng.choice("aaaabc"), rng.choice("xxxy")) for i in range(60)]
+    classes = spark.createDataFrame(rows, "id bigint, entity string, form string, look string")
+    got = [(r.id_a, r.id_b) for r in lookalike.lookalike_pairs(classes).collect()]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] == b[3] and a[2] != b[2]}
+    assert len(got) == len(want) and set(got) == want
+    assert lookalike.lookalike_links(classes).agg(F.sum("n_links")).first()[0] == 2 * len(want)
 
 
 # 4 consensus
