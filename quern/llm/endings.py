@@ -97,10 +97,10 @@ def body(text: str) -> str:
     return _CITE.sub("", text).rstrip() if text else ""
 
 
-def closes(text: str) -> bool | None:
+def closes(text: str, inner: frozenset[str] = frozenset()) -> bool | None:
     """True where the last mark ends a sentence, False where it can't, None where the words must tell.
 
-    A trailing ellipsis is no end. A full stop after an abbreviation that needs more is none.
+    A trailing ellipsis is no end. A full stop after an abbreviation (``inner``, learnt with the sentence model) is none.
     """
     t = body(text)
     if not t:
@@ -115,7 +115,7 @@ def closes(text: str) -> bool | None:
         return None if mark not in ",;:、，；：،–-(" + OPEN_QUOTES else False
     if mark == ".":
         token = re.split(r"[\s(（“«„「\"–'’]", core[:-1])[-1].rstrip(".").lower()
-        if token in sentences.INNER and token not in sentences.EITHER:
+        if token in inner:
             return False
         if len(token) == 1 and token.isalpha() and core[-2].isupper():
             return False
@@ -227,7 +227,7 @@ def _lines(text: str, model: dict) -> Iterator[tuple[str, bool]]:
     last_line = max(text.rfind("\n"), 0)
     for k, (a, b) in enumerate(spans):
         unit = text[a:b]
-        yield unit, k + 1 < len(spans) or (closes(unit) is True and b >= last_line)
+        yield unit, k + 1 < len(spans) or (closes(unit, model["known"]["inner"]) is True and b >= last_line)
 
 
 def context_counts(df: DataFrame, text: str, frequent: frozenset[str], model: dict) -> DataFrame:
@@ -286,7 +286,7 @@ def open_endings(df: DataFrame, key: str, text: str, frequent: frozenset[str], m
                 if stack(t):
                     out.append((k, "cut", "", False, 0, None))
                     continue
-                done = closes(t)
+                done = closes(t, m["known"]["inner"])
                 if done is not None:
                     if not done:
                         out.append((k, "cut", "", False, 0, None))
@@ -318,7 +318,7 @@ def broken_off(df: DataFrame, key: str, text: str, per_script: int = sentences.T
     are complete; open brackets and quotations, trailing commas and abbreviations break off;
     the rest is decided by the terminality of its closing context against LIMITS.
     """
-    model = sentences.train(sentences.sample(df.select(text), text, per_script))
+    model = sentences.learn(df.select(text), text, per_script)
     frequent = frequent_words(df, text)
     ends = durable(open_endings(df, key, text, frequent, model))
     contexts_ = ends.where("kind = 'open'").select("key", "script", "head", "depth", "context")
