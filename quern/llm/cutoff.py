@@ -11,6 +11,7 @@ scored by their closing words; an empty table gives none.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 
@@ -48,31 +49,43 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(m.tobytes(), seed=k) - (1 << 63) for k, m in enumerate(mins)]
 
 
-def aligned_end(a: list[str], b: list[str], band: int = 12) -> tuple[int, int]:
-    """(edits, end): the cheapest alignment of all of ``a`` with a prefix of ``b``, by banded edit distance."""
-    worst = len(a) + len(b)
-    prev = {j: j for j in range(min(band, len(b)) + 1)}
-    for i, x in enumerate(a, 1):
-        row: dict[int, int] = {}
-        for j in range(max(0, i - band), min(len(b), i + band) + 1):
-            if j == 0:
-                row[j] = i
-                continue
-            row[j] = min(prev.get(j - 1, worst) + (x != b[j - 1]), prev.get(j, worst) + 1, row.get(j - 1, worst) + 1)
-        prev = row
-    if not prev:
-        return worst, 0
-    edits, end = min((c, j) for j, c in prev.items())
-    return edits, end
+def aligned_end(a: list[str], b: list[str]) -> tuple[int, int]:
+    """(edits, end): the cheapest alignment of all of ``a`` with a prefix of ``b``, the shortest of these.
+
+    Edit distances to every prefix come column by column, each the bits of two integers (Myers, Hyyro).
+    """
+    if not a:
+        return 0, 0
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, len(a) - 1
+    up, down, edits, best = full, 0, len(a), (len(a), 0)
+    for j, y in enumerate(b, 1):
+        eq = at.get(y, 0)
+        flat = (((eq & up) + up) ^ up | eq) & full
+        more, less = down | full & ~(flat | up), up & flat
+        edits += (more >> last & 1) - (less >> last & 1)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = less | full & ~(eq | down | more), more & (eq | down)
+        best = min(best, (edits, j))
+    return best
+
+
+@functools.lru_cache(maxsize=4096)
+def _parsed(text: str) -> tuple[list[str], np.ndarray]:
+    """Tokens and shingles of a text, which meets many others."""
+    toks = tokens(text)
+    return toks, shingles(toks)
 
 
 def judge_pair(short: str, long: str) -> bool | None:
     """True where ``short`` ends inside a sentence of its near-copy, False where the sentence ends there, too."""
-    a, b = tokens(endings.body(endings._DOTS.sub("", short))), tokens(endings.body(long))
+    (a, sa), (b, sb) = _parsed(endings.body(endings._DOTS.sub("", short))), _parsed(endings.body(long))
     if len(a) < SHINGLE or len(b) < len(a):
         return None
-    sa, sb = shingles(a), shingles(b)
-    if len(np.intersect1d(sa, sb)) < SIMILARITY * len(np.union1d(sa, sb)):
+    both = len(np.intersect1d(sa, sb, assume_unique=True))
+    if both < SIMILARITY * (len(sa) + len(sb) - both):
         return None
     edits, end = aligned_end(a[:-1], b)
     if edits > 0.1 * len(a) or end >= len(b):
