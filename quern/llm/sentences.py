@@ -46,7 +46,9 @@ RARE = 1e-6
 #: Thai beginnings that open lines in no more than this share of cases continue a number.
 THAI_OPEN = 0.1
 
-_RUN = re.compile(rf"[    ]?[{re.escape(TERMINATORS)}]+(?:[   ]?»)?[”\"“»」』’)\]）】]*")
+_RUN = re.compile(rf"[{re.escape(TERMINATORS)}]+(?:[   ]?»)?[”\"“»」』’)\]）】]*")
+_SPACES = frozenset(" \u00a0\u2009\u202f")
+_QUOTE = re.compile('[«「『„“"”»」』]|\n(?=\n)')
 _LETTER = re.compile(r"\w")
 _LINE = re.compile(r"[^\n\r\x0b\x0c\x85  ]+")
 _THAI = re.compile("[฀-๿]")
@@ -75,8 +77,9 @@ def _quotes(text: str) -> list[tuple[int, int, bool, bool]]:
     """Quotations as (start, end, opens a sentence, is whole); ends of a cut quotation are the text's."""
     out, start, mark = [], -1, ""
     floor = 0
-    for i, ch in enumerate(text):
-        if ch == "\n" and text[i + 1 : i + 2] == "\n":
+    for m in _QUOTE.finditer(text):
+        i, ch = m.start(), m.group()
+        if ch == "\n":
             if start >= 0:
                 out.append((start, i, False, False))
             start, floor = -1, i + 1
@@ -87,9 +90,9 @@ def _quotes(text: str) -> list[tuple[int, int, bool, bool]]:
         if opens:
             if start < 0:
                 start, mark = i, ch
-        elif ch in "”»」』\"" or (ch == "“" and mark == "„"):
+        else:
             if start >= 0:
-                before = text[max(floor, start - 8) : start].rstrip("    ")
+                before = text[max(floor, start - 8) : start].rstrip(" \u00a0\u2009\u202f")
                 out.append((start, i + 1, not before or before[-1] in TERMINATORS + "\n", True))
             elif not out or out[-1][0] < floor:
                 out.append((floor, i + 1, True, False))
@@ -128,7 +131,7 @@ def nodes(text: str, known: dict | None = None) -> list[tuple[int, int, list[tup
         lo, hi = m.span()
         line, found = m.group(), []
         for r in _RUN.finditer(line):
-            at = lo + r.end()
+            at, first = lo + r.end(), r.start() - (r.start() > 0 and line[r.start() - 1] in _SPACES)
             while text[at - 1] in "“\"" and at not in ends:  # it opens the next sentence
                 at -= 1
             begin = _BLANK.match(text, at, hi).end()
@@ -140,12 +143,12 @@ def nodes(text: str, known: dict | None = None) -> list[tuple[int, int, list[tup
                 continue
             if mark == "." and not gap and len(r.group()) == 1 and not (nxt.isalpha() or nxt in OPEN_QUOTES):
                 continue
-            token = _word_before(line, r.start())
-            quote = next((ends[e] for e in range(at, lo + r.start(), -1) if e in ends), None)
+            token = _word_before(line, first)
+            quote = next((ends[e] for e in range(at, lo + first, -1) if e in ends), None)
             # of a quotation whose start is cut off, only the mark tells whether it opened its sentence, as questions do
             opens = quote is not None and (quote[1] if quote[2] else mark not in ".．।॥۔。")
             word = _NEXT.match(text, begin, hi).group().lower()
-            initial = len(token) == 1 and token.isalpha() and line[r.start() - 1].isupper()
+            initial = len(token) == 1 and token.isalpha() and line[first - 1].isupper()
             abbr = "inner" if token in inner or initial else "number" if token.isdecimal() else "none"
             what = "”" if quote is not None else "#" if token.isdecimal() else token
             carry = (what, _opening(word)) in carrying
