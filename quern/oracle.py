@@ -278,7 +278,7 @@ ORACLE = {
     "char_ngrams": f"SELECT seq, len(g)::INT AS n, md5(array_to_string(g, ' ')) AS digest FROM (SELECT seq, {_GRAMS.format(n=4)} AS g FROM (SELECT seq, array_to_string({_toks('answer')}, '') AS j FROM answers WHERE answer IS NOT NULL))",
     "sentence_split": f"SELECT seq, len(s)::INT AS n, md5(array_to_string(s, chr(31))) AS digest FROM (SELECT seq, {_sents('answer')} AS s FROM answers WHERE answer IS NOT NULL)",
     "excerpt_and_citation": "SELECT DISTINCT chunk_id, md5(CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END) AS digest, source_file || ' p.' || page AS citation FROM chunks",
-    "ocr_choice": f"""WITH p AS (SELECT page_key, {_strip("CASE WHEN native_chars < 50 THEN '' ELSE text END")} AS n, {_strip("CASE WHEN ocr_chars > 0 THEN text END")} AS o FROM page_records WHERE text IS NOT NULL),
+    "ocr_choice": f"""WITH p AS (SELECT page_key, {_strip("substr(text, 1, native_chars)")} AS n, {_strip("CASE WHEN ocr_chars > 0 THEN text END")} AS o FROM page_records WHERE text IS NOT NULL),
 q AS (SELECT *, length(n) < 50 AS tried, length(n) < 50 AND o IS NOT NULL AND length(o) > length(n) AS used FROM p)
 SELECT page_key, used AS used_ocr, tried AS ocr_attempted, tried AND NOT used AS ocr_rejected, length(n)::INT AS native_chars, CASE WHEN tried THEN coalesce(length(o), 0) ELSE 0 END::INT AS ocr_chars, md5(CASE WHEN used THEN o ELSE n END) AS digest FROM q""",
     "ingest_summary": "SELECT count(*) AS n_pages, count(*) FILTER (WHERE used_ocr) AS n_ocr_pages, count(*) FILTER (WHERE ocr_attempted) AS n_ocr_attempted, count(*) FILTER (WHERE ocr_rejected) AS n_ocr_rejected, round(count(*) FILTER (WHERE used_ocr)::DOUBLE / count(*), 6) AS ocr_page_fraction, count(*) FILTER (WHERE coalesce(length(trim(text)), 0) = 0) AS n_empty_pages, coalesce(sum(length(text)), 0)::BIGINT AS total_chars, round(avg(length(coalesce(text, ''))), 6) AS mean_chars, round(avg(kannada_ratio), 6) AS mean_ratio FROM page_records",

@@ -169,7 +169,7 @@ def excerpt_and_citation(s, d):
 @query
 def ocr_choice(s, d):
     p = read(s, d, "page_records").where("text IS NOT NULL")
-    p = p.select("page_key", F.when(F.col("native_chars") < 50, "").otherwise(F.col("text")).alias("native_text"), F.when(F.col("ocr_chars") > 0, F.col("text")).alias("ocr_text"))
+    p = p.select("page_key", F.substring("text", F.lit(1), F.col("native_chars")).alias("native_text"), F.when(F.col("ocr_chars") > 0, F.col("text")).alias("ocr_text"))
     out = ocr.choose_text(p, cfg=IngestConfig(normalise_unicode=False))
     return out.select("page_key", "used_ocr", "ocr_attempted", "ocr_rejected", "native_chars", "ocr_chars", F.md5("text").alias("digest"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -12,13 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+def _temporary(prefix: str) -> str:
+    """A folder of the driver's that goes when it ends."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable on the executors, once per application."""
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
         home = Path(__file__).resolve().parent
-        out = Path(tempfile.mkdtemp(prefix="quern-code-"))
+        out = Path(_temporary("quern-code-"))
         shutil.make_archive(str(out / "quern_package"), "zip", home.parent, home.name)
         spark.sparkContext.addPyFile(str(out / "quern_package.zip"))
 
@@ -44,7 +52,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if wanted is None:
         if not (sc.master.startswith("local[") or sc.master == "local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        wanted = tempfile.mkdtemp(prefix="quern-")
+        wanted = _temporary("quern-")
     sc.setCheckpointDir(wanted)
     return sc._jsc.sc().getCheckpointDir().get()
 
