@@ -38,8 +38,21 @@ def tokens(text: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFC", text).casefold())
 
 
+@functools.lru_cache(maxsize=1 << 17)
+def _code(token: str) -> int:
+    return xxhash.xxh64_intdigest(token)
+
+
 def shingles(toks: list[str]) -> np.ndarray:
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest("\x1f".join(toks[i : i + SHINGLE])) for i in range(len(toks) - SHINGLE + 1)), np.uint64))
+    """The distinct shingles of a text as 64-bit numbers, made of their tokens' for all places at once."""
+    n = len(toks) - SHINGLE + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    codes = np.fromiter(map(_code, toks), np.uint64, len(toks))
+    h = codes[:n].copy()
+    for k in range(1, SHINGLE):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + codes[k : n + k]
+    return np.unique((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -121,11 +134,13 @@ def near_copies(rows: DataFrame) -> DataFrame:
                     return known[x]
 
                 short = counts(endings.body(endings._DOTS.sub("", t))) if endings.closes(t) is None else (None, None)
-                out += [(i, k, *short, *counts(endings.body(t))) for k in bands(h)]
-            yield pd.DataFrame(out, columns=["id", "band", "words", "grams", "words_b", "grams_b"]).astype({"words": "Int32", "grams": "Int32"})
+                out.append((i, bands(h), *short, *counts(endings.body(t))))
+            yield pd.DataFrame(out, columns=["id", "bands", "words", "grams", "words_b", "grams_b"]).astype({"words": "Int32", "grams": "Int32"})
 
-    keyed = rows.mapInPandas(sketch, "id string, band bigint, words int, grams int, words_b int, grams_b int")
-    keyed = durable(keyed.join(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "band")).withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int"))
+    sketched = durable(rows.mapInPandas(sketch, "id string, bands array<bigint>, words int, grams int, words_b int, grams_b int"))
+    keyed = sketched.select("id", F.explode("bands").alias("band"), "words", "grams", "words_b", "grams_b")
+    shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    keyed = durable(keyed.join(shared, "band")).withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int"))
     short = keyed.where(F.col("words") >= SHINGLE).select("id", "band", "words", "grams", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
     long = keyed.select(F.col("id").alias("partner"), "band", "words_b", "grams_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     alike = F.least("grams", "grams_b") >= F.greatest("grams", "grams_b") * F.lit(SIMILARITY)
