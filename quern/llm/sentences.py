@@ -34,6 +34,8 @@ from quern.session import durable
 #: Texts per script class that the model is trained on.
 TRAIN_PER_SCRIPT = 350
 EPOCHS = 5
+#: How many single features the joint one weighs, so that what is known of a break overrules the words about it.
+JOINT = 4
 
 #: How often an abbreviation still ends a line, or a word that carries on begins one.
 SLIP = 0.01
@@ -227,7 +229,8 @@ def conclude(counts: Iterable[tuple[str, str, str, int]], totals: dict[str, int]
 
 def features(n: dict) -> list[str]:
     base = f"{n['mark']}|{n['abbr']}|{n['next']}"
-    return [base, f"{base}|{n['carry']}|{n['quote']}", f"in{n['in']}", f"in{n['in']}|{n['mark']}", f"q{n['quote']}|{n['next']}|{n['carry']}",
+    joint = f"{base}|{n['carry']}|{n['quote']}|{n['in']}|{n['digit']}"
+    return [*[joint] * JOINT, base, f"{base}|{n['carry']}|{n['quote']}", f"in{n['in']}", f"in{n['in']}|{n['mark']}", f"q{n['quote']}|{n['next']}|{n['carry']}",
             f"q{n['quote']}", f"t{n['token']}|{n['mark']}", f"t{n['token']}|{n['next']}", f"w{n['word']}|{n['digit']}|{n['mark']}", f"w{n['word'][:3]}|{n['digit']}|{n['mark']}",
             f"w{n['word'][:2]}|{n['digit']}|{n['mark']}", f"g{n['gap']}|{n['mark']}", f"d{n['digit']}|{n['next']}|{n['mark']}", f"c{n['carry']}|{n['abbr']}"]
 

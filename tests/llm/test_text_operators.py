@@ -135,7 +135,7 @@ def test_lookalike_pairs(spark):
     assert {(r.id_a, r.id_b) for r in pairs_.collect()} == {(1, 2), (2, 3), (1, 4), (3, 4), (2, 4)}
     assert lookalike.lookalike_pairs(lookalike.lookalike_classes(df.where("false"), "query", "id", "text")).count() == 0
     links = {r.id: (r.class_id, r.n_links) for r in lookalike.lookalike_links(lookalike.lookalike_classes(df, "query", "id", "text")).collect()}
-    assert {i: n for i, (_, n) in links.items()} == {1: 1, 2: 3, 3: 1, 4: 1, 7: 0} and len({c for c, _ in links.values()}) == 2
+    assert {i: n for i, (_, n) in links.items()} == {1: 2, 2: 3, 3: 2, 4: 3, 7: 0} and len({c for c, _ in links.values()}) == 2
 
 
 def test_lookalike_pairs_of_a_popular_look(spark, monkeypatch):
