@@ -41,7 +41,8 @@ SEED, STRIDE = 14, 7  # characters of a seed, without spaces and punctuation, an
 SEED_WIDE, STRIDE_WIDE = 7, 3  # the same in scripts of wide characters
 RARE_WORD = 0.03  # a word is rare if no more than this share of the documents with the item's most frequent word have it,
 RARE_MEAN = 0.6  # or if the documents with the n-grams around it have this share of the item on average
-SEED_SHARE = 0.10  # of an item's seeds, rare ones only, that make a candidate
+SEED_SHARE = 0.10  # of an item's seeds, rare ones only, that make a candidate;
+LEAST_RARE, RARE_SHARE = 3, 0.3  # or so many rare ones that are this share of the item's rare seeds, for items of many stock phrases
 HELD = 0.42  # share of an item's text that a document must hold ("about half")
 LEAST_SCORE = 8.0  # of an alignment that counts
 MATCH, RARE_MATCH, MISS, RARE_MISS, GAP = 1.0, 2.0, -1.5, -2.5, -1.5
@@ -116,6 +117,7 @@ class Items:
         self.vocabulary = sorted({w for toks in self.tokens.values() for w in toks})
         self.rare: dict[int, list[bool]] = {}
         self.rare_slot = np.zeros(len(owner), bool)
+        self.n_rare = np.zeros(len(self.keys), int)
         self._automaton: ahocorasick.Automaton | None = None
 
     def __getstate__(self) -> dict:
@@ -131,12 +133,16 @@ class Items:
                 self._automaton.make_automaton()
         return list({i for _, i in self._automaton.iter(text.replace(" ", ""))}) if self.seeds else []
 
-    def shares(self, seeds: list[int], rare: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """The slots of seeds and, per item, the share of its seeds that they are."""
+    def counted(self, seeds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of seeds and, per item, how many of them are its."""
         slots = np.concatenate([self.slots[i] for i in seeds])
-        if rare:
-            slots = slots[self.rare_slot[slots]]
-        return slots, np.bincount(self.owner[slots], minlength=len(self.keys)) / self.n_places
+        return slots, np.bincount(self.owner[slots], minlength=len(self.keys))
+
+    def candidates(self, seeds: list[int]) -> np.ndarray:
+        """The items that a document with these seeds is aligned with."""
+        slots, _ = self.counted(seeds)
+        n = np.bincount(self.owner[slots[self.rare_slot[slots]]], minlength=len(self.keys))
+        return np.flatnonzero((n >= SEED_SHARE * self.n_places) | ((n >= LEAST_RARE) & (n >= RARE_SHARE * self.n_rare)))
 
     def documents_with(self, texts: pa.Array) -> np.ndarray:
         """Of each word of the vocabulary, how many of the spaced texts have it."""
@@ -164,6 +170,7 @@ class Items:
                             self.rare_slot[base + i] = True
                 at += len(w)
             self.rare[k] = flags
+        self.n_rare = np.bincount(self.owner[self.rare_slot], minlength=len(self.keys))
 
     def held(self, k: int, doc: list[str], spots: list[int]) -> float:
         """The share of item ``k``'s characters covered by alignments with the document near ``spots`` (word numbers)."""
@@ -254,10 +261,10 @@ def _leaks(docs: DataFrame, them: Items) -> DataFrame:
                 having += known.documents_with(texts)
                 for d, t in zip(part.column("doc").to_pylist(), texts.to_pylist()):
                     if got := known.found(t):
-                        slots, share = known.shares(got)
+                        slots, n = known.counted(got)
                         with_seed[slots] += 1
-                        total[slots] += share[known.owner[slots]]
-                        if share.max() >= SEED_SHARE:
+                        total[slots] += (n / known.n_places)[known.owner[slots]]
+                        if ((n >= SEED_SHARE * known.n_places) | (n >= LEAST_RARE)).any():
                             ids.append(d)
                             seeds.append(got)
             yield rows(doc=ids, seeds=seeds)
@@ -275,8 +282,7 @@ def _leaks(docs: DataFrame, them: Items) -> DataFrame:
     learnt = spark.sparkContext.broadcast(them)
 
     def candidates(seeds: pd.Series) -> pd.Series:
-        known = learnt.value
-        return seeds.map(lambda s: np.flatnonzero(known.shares(s, rare=True)[1] >= SEED_SHARE))
+        return seeds.map(learnt.value.candidates)
 
     pairs = found.where("doc IS NOT NULL").select("doc", F.pandas_udf(candidates, "array<int>")("seeds").alias("items")).where(F.size("items") > 0)
     per_doc = durable(pairs.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")))  # at most all items
