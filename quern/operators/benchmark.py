@@ -19,11 +19,10 @@ def validate(questions: DataFrame) -> DataFrame:
     """Rows (question_id, problem): repeated ids, answerable ones without gold or validator, mixed versions."""
     none = lambda c: F.coalesce(F.size(c), F.lit(0)) < 1
     twice = questions.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("question_id", F.lit("duplicate id").alias("problem"))
-    can = questions.where("answerable")
-    gold = can.where(none("gold_chunk_ids") & none("gold_pages")).select("question_id", F.lit("answerable without gold").alias("problem"))
-    valid = can.where(none("validated_by")).select("question_id", F.lit("answerable without validator").alias("problem"))
+    found = F.array_compact(F.array(F.when(none("gold_chunk_ids") & none("gold_pages"), "answerable without gold"), F.when(none("validated_by"), "answerable without validator")))
+    own = questions.where("answerable").select("question_id", F.explode(found).alias("problem"))
     mixed = questions.agg(F.countDistinct("reference_version").alias("n")).where("n > 1").select(F.lit(None).cast("string").alias("question_id"), F.lit("mixed reference versions").alias("problem"))
-    return twice.unionByName(gold).unionByName(valid).unionByName(mixed)
+    return twice.unionByName(own).unionByName(mixed)
 
 
 def provenance(questions: DataFrame) -> DataFrame:

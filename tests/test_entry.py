@@ -13,3 +13,15 @@ def test_entry_and_names(spark):
         pytest.skip("no test tables here")
     df = entry.entry(spark)
     assert df.columns == ["query_id", "chunk_id", "rank", "selected"] and df.count() > 0
+
+
+def test_core_queries_stand_without_the_others(monkeypatch):
+    import sys
+
+    entry = importlib.import_module("__spark_entry__")
+    everything = set(entry.queries())
+    for name in [m for m in sys.modules if m == "quern.llm" or m.startswith("quern.llm.")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "quern.llm", None)  # it is there, but can't be imported
+    core = set(entry.queries())
+    assert core <= everything and len(core) > 80 and set(entry.oracle_sql()) <= core
