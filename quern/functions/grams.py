@@ -1,4 +1,4 @@
-"""Multiset overlaps of the n-grams of many pairs at once, by column.
+"""Multiset overlaps of the n-grams of many pairs at once, and alignments of their items, by column.
 
 Items are numbered over the whole batch, n-grams by pairing the number of the gram before with the item that
 follows, so that numbers stay exact and no row is looked at on its own.
@@ -56,6 +56,22 @@ def shared(a: Side, b: Side, n_rows: int) -> np.ndarray:
     return np.bincount(both // size, np.minimum(nx[i], ny[j]), n_rows)
 
 
+def aligned(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the items that meet, in the order of ``a``: the row, and the place in the batch on either side.
+
+    The k-th occurrence of an item in a row meets the k-th on the other side.
+    """
+    size = max((int(s[0].max()) for s in (a, b) if len(s[0])), default=0) + 1
+    keys = [row * size + item for item, row in (a, b)]
+    (x, nx), (y, ny) = (np.unique(k, return_counts=True) for k in keys)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    met = np.minimum(nx[i], ny[j])
+    k = np.arange(met.sum()) - np.repeat(np.cumsum(met) - met, met)
+    here, there = (np.argsort(key, kind="stable")[np.repeat((np.cumsum(n) - n)[at], met) + k] for key, n, at in zip(keys, (nx, ny), (i, j)))
+    order = np.argsort(here)
+    return a[1][here[order]], here[order], there[order]
+
+
 def count(side: Side, n_rows: int) -> np.ndarray:
     return np.bincount(side[1], minlength=n_rows)
 

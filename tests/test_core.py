@@ -86,6 +86,20 @@ def test_meteor_plans_agree(spark):
     assert a == b
 
 
+def test_meteor_exact_shuffles_nothing(spark):
+    rng = random.Random(5)
+    words = lambda most: [rng.choice("abcdefg") for _ in range(rng.randint(0, most))]
+    rows = [(i, words(40), words(25)) for i in range(300)] + [(300, [], []), (301, None, ["a"]), (302, ["a"] * 9, ["a"] * 4), (303, ["x"], ["y"])]
+    out = ov.meteor_exact(spark.createDataFrame(rows, "k int, h array<string>, r array<string>").repartition(3), ["k"], "h", "r")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Window" not in plan and "Join" not in plan  # the test's own repartition
+    found = {r.k: (r.matches, r.chunks) for r in out.collect()}
+    for k, h, r in rows:
+        met = ov._align_exact(h or [], r or [])
+        chunks = sum(n == 0 or (met[n][0] - met[n - 1][0], met[n][1] - met[n - 1][1]) != (1, 1) for n in range(len(met)))
+        assert found[k] == (len(met), chunks), k
+
+
 def test_chrf_prefers_shared_letters(spark):
     s = scores(spark, "ದೇವಾಲಯವು", "ದೇವಾಲಯ")
     assert s["chrf"] > s["rouge1_f1"] and scores(spark, "abc", "abc")["chrf"] == pytest.approx(1)
